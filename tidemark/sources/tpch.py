@@ -20,27 +20,43 @@ arithmetic so both the Spark plans and the SQL oracle see the same rows:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-@dataclass
 class Tables:
-    """Canonical retail tables (silver shape, canonical column names)."""
-    orders: DataFrame
-    items: DataFrame
-    payments: DataFrame
-    reviews: DataFrame
-    products: DataFrame
-    customers: DataFrame
-    sellers: DataFrame
-    geolocation: DataFrame
-    translation: DataFrame
-    region_map: DataFrame  # (customer_state, region); small, bounded by #states
+    """Canonical retail tables (silver shape, canonical column names).
+
+    Each table is built on first use, so a query plans only the scans it
+    needs.  Attributes: orders, items, payments, reviews, products,
+    customers, sellers, geolocation, translation, region_map (the last one
+    is small, bounded by the number of states).
+    """
+
+    NAMES = ("orders", "items", "payments", "reviews", "products", "customers", "sellers",
+             "geolocation", "translation", "region_map")
+
+    def __init__(self, builders: dict):
+        self._builders = dict(builders)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        builders = self.__dict__.get("_builders", {})
+        if name not in builders:
+            raise AttributeError(name)
+        built = self.__dict__["_built"]
+        if name not in built:
+            built[name] = builders[name]()
+        return built[name]
+
+    def replace(self, **overrides) -> "Tables":
+        """Same tables with some replaced by functions of the originals."""
+        b = dict(self._builders)
+        for name, fn in overrides.items():
+            b[name] = (lambda f=fn, n=name: f(getattr(self, n)))
+        return Tables(b)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,69 +64,99 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    r = lambda n: read_table(spark, sf_dir, n)
-    o, li, c, n, rg, p, s = (r("orders"), r("lineitem"), r("customer"), r("nation"),
-                             r("region"), r("part"), r("supplier"))
-
-    orders = o.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        F.expr("CASE WHEN o_orderstatus = 'P' THEN NULL "
-               "ELSE o_orderdate + (o_orderkey % 30) * INTERVAL '1' DAY END")
-         .alias("order_delivered_customer_date"),
-        F.expr("o_orderdate + INTERVAL '21' DAY").alias("order_estimated_delivery_date"),
-    )
-    items = li.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("freight_value"),
-    )
-    nation_region = n.join(rg, n.n_regionkey == rg.r_regionkey).select(
-        "n_nationkey", F.col("n_name").alias("customer_state"), F.col("r_name").alias("region"))
-    # nation/region are fixed 25/5-row dimensions: a bounded broadcast.
-    customers = c.join(F.broadcast(nation_region), c.c_nationkey == nation_region.n_nationkey).select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_custkey").alias("customer_unique_id"),
-        (F.col("c_custkey") - F.col("c_custkey") % 2).alias("paired_id"),
-        F.col("c_nationkey").cast("string").alias("customer_zip_code_prefix"),
-        F.col("c_name").alias("customer_city"),
-        "customer_state",
-    )
-    products = p.select(
-        F.col("p_partkey").alias("product_id"),
-        F.expr("NULLIF(p_brand, 'Brand#11')").alias("product_category_name"),
-    )
-    first_pay = o.select(F.col("o_orderkey").alias("order_id"), F.lit(1).alias("payment_sequential"))
-    second_pay = (o.where(F.col("o_orderkey") % 3 == 0)
-                  .select(F.col("o_orderkey").alias("order_id"), F.lit(2).alias("payment_sequential")))
-    payments = first_pay.unionByName(second_pay)
-    reviews = o.select(
-        F.col("o_orderkey").alias("review_id"),
-        F.col("o_orderkey").alias("order_id"),
-        (F.lit(1) + (F.col("o_orderkey") % 7) % 5).cast("int").alias("review_score"),
-        F.expr("o_orderdate + (o_orderkey % 41) * INTERVAL '1' DAY").alias("review_creation_date"),
-    )
-    sellers = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(
-        F.col("s_suppkey").alias("seller_id"),
-        F.col("s_nationkey").cast("string").alias("seller_zip_code_prefix"),
-        F.col("s_name").alias("seller_city"),
-        F.col("n_name").alias("seller_state"),
-    )
-    geolocation = c.select(
-        F.col("c_nationkey").cast("string").alias("geolocation_zip_code_prefix"),
-        F.col("c_acctbal").cast("decimal(18,2)").alias("geolocation_lat"),
-        F.col("c_name").alias("geolocation_city"),
-        F.col("c_mktsegment").alias("geolocation_state"),
-    )
-    translation = (p.select(F.col("p_brand").alias("product_category_name")).distinct()
-                   .withColumn("product_category_name_english",
-                               F.lower(F.regexp_replace("product_category_name", "#", "_"))))
-    region_map = nation_region.select("customer_state", "region")
-    return Tables(orders, items, payments, reviews, products, customers, sellers,
-                  geolocation, translation, region_map)
+    cache: dict[str, DataFrame] = {}
+
+    def r(n: str) -> DataFrame:
+        if n not in cache:
+            cache[n] = read_table(spark, sf_dir, n)
+        return cache[n]
+
+    def orders():
+        return r("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.col("o_orderstatus").alias("order_status"),
+            F.col("o_orderdate").alias("order_purchase_timestamp"),
+            F.expr("CASE WHEN o_orderstatus = 'P' THEN NULL "
+                   "ELSE o_orderdate + (o_orderkey % 30) * INTERVAL '1' DAY END")
+             .alias("order_delivered_customer_date"),
+            F.expr("o_orderdate + INTERVAL '21' DAY").alias("order_estimated_delivery_date"),
+        )
+
+    def items():
+        return r("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").alias("order_item_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("seller_id"),
+            F.col("l_shipdate").alias("shipping_limit_date"),
+            F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+            F.col("l_quantity").cast("decimal(18,2)").alias("freight_value"),
+        )
+
+    def nation_region():
+        n, rg = r("nation"), r("region")
+        return n.join(rg, n.n_regionkey == rg.r_regionkey).select(
+            "n_nationkey", F.col("n_name").alias("customer_state"), F.col("r_name").alias("region"))
+
+    def customers():
+        c, nr = r("customer"), nation_region()
+        # nation/region are fixed 25/5-row dimensions: a bounded broadcast.
+        return c.join(F.broadcast(nr), c.c_nationkey == nr.n_nationkey).select(
+            F.col("c_custkey").alias("customer_id"),
+            F.col("c_custkey").alias("customer_unique_id"),
+            (F.col("c_custkey") - F.col("c_custkey") % 2).alias("paired_id"),
+            F.col("c_nationkey").cast("string").alias("customer_zip_code_prefix"),
+            F.col("c_name").alias("customer_city"),
+            "customer_state",
+        )
+
+    def products():
+        return r("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.expr("NULLIF(p_brand, 'Brand#11')").alias("product_category_name"),
+        )
+
+    def payments():
+        o = r("orders")
+        first_pay = o.select(F.col("o_orderkey").alias("order_id"), F.lit(1).alias("payment_sequential"))
+        second_pay = (o.where(F.col("o_orderkey") % 3 == 0)
+                      .select(F.col("o_orderkey").alias("order_id"), F.lit(2).alias("payment_sequential")))
+        return first_pay.unionByName(second_pay)
+
+    def reviews():
+        return r("orders").select(
+            F.col("o_orderkey").alias("review_id"),
+            F.col("o_orderkey").alias("order_id"),
+            (F.lit(1) + (F.col("o_orderkey") % 7) % 5).cast("int").alias("review_score"),
+            F.expr("o_orderdate + (o_orderkey % 41) * INTERVAL '1' DAY").alias("review_creation_date"),
+        )
+
+    def sellers():
+        s, n = r("supplier"), r("nation")
+        return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(
+            F.col("s_suppkey").alias("seller_id"),
+            F.col("s_nationkey").cast("string").alias("seller_zip_code_prefix"),
+            F.col("s_name").alias("seller_city"),
+            F.col("n_name").alias("seller_state"),
+        )
+
+    def geolocation():
+        return r("customer").select(
+            F.col("c_nationkey").cast("string").alias("geolocation_zip_code_prefix"),
+            F.col("c_acctbal").cast("decimal(18,2)").alias("geolocation_lat"),
+            F.col("c_name").alias("geolocation_city"),
+            F.col("c_mktsegment").alias("geolocation_state"),
+        )
+
+    def translation():
+        return (r("part").select(F.col("p_brand").alias("product_category_name")).distinct()
+                .withColumn("product_category_name_english",
+                            F.lower(F.regexp_replace("product_category_name", "#", "_"))))
+
+    def region_map():
+        return nation_region().select("customer_state", "region")
+
+    return Tables(dict(orders=orders, items=items, payments=payments, reviews=reviews,
+                       products=products, customers=customers, sellers=sellers,
+                       geolocation=geolocation, translation=translation, region_map=region_map))
