@@ -126,7 +126,7 @@ def counterfactual_bound(exposure: DataFrame) -> DataFrame:
         round_half(gap * 100, 2).alias("gap_pct"),
         round_half(recovered, 2).alias("recovered"),
         non_ret.alias("non_returners"),
-        round_half(recovered / non_ret.cast("double") * 100, 4).alias("share_pct"))
+        round_half(ratio(recovered, non_ret) * 100, 4).alias("share_pct"))
 
 
 def stratum_gap(stratified: DataFrame) -> DataFrame:
