@@ -12,27 +12,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import concentration as conc
-from tidemark.operators import customers as cust
-from tidemark.operators import delivery as dlv
-from tidemark.operators import growth as grw
-from tidemark.operators import quality as qa
-from tidemark.operators import retention as ret
-from tidemark.operators import series as ser
-from tidemark.operators.primitives import first_event  # noqa: F401  (re-exported for users)
+from tidemark.plans.analyses import Params, analyses, retention_analyses
 from tidemark.sources.bronze import row_counts, to_bronze
 from tidemark.sources.silver import silver
 from tidemark.sources.tpch import Tables, tpch_tables
 
 # --- parameters of the analysis on the driver tables ---
-YEAR_A, YEAR_B = 2000, 2001          # matched-window years (data ends 2001-08-01)
-MATCHED_MONTHS = (1, 7)              # Jan–Jul in both years
-SHARE_FLOOR = 25000                  # base-year revenue floor for share shift
-SMALL_BASE_FLOOR = 25000             # month-over-month base floor
-TRUST_WINDOW = ("1992-01-01 00:00:00", "2001-08-01 00:00:00")  # drops the censored last month
+TPCH_PARAMS = Params(
+    year_a=2000, year_b=2001,            # matched-window years (data ends 2001-08-01)
+    matched_months=(1, 7),               # Jan–Jul in both years
+    share_floor=25000, small_base_floor=25000,
+    trust_window=("1992-01-01 00:00:00", "2001-08-01 00:00:00"),  # drops the censored last month
+    thin_floor=30, pareto_p=80,
+    identity_keys=("customer_id", "paired_id"),   # record id vs two-records-per-person id
+    geo_avg=("geolocation_lat",),
+)
+YEAR_A, YEAR_B = TPCH_PARAMS.year_a, TPCH_PARAMS.year_b
+MATCHED_MONTHS = TPCH_PARAMS.matched_months
+SHARE_FLOOR = TPCH_PARAMS.share_floor
+SMALL_BASE_FLOOR = TPCH_PARAMS.small_base_floor
+TRUST_WINDOW = TPCH_PARAMS.trust_window
+THIN_FLOOR = TPCH_PARAMS.thin_floor
+PARETO_P = TPCH_PARAMS.pareto_p
 RETURN_SINCE = "2001-01-01 00:00:00"  # analysis window where return is not near-universal
-THIN_FLOOR = 30                      # minimum first orders per stratum cell
-PARETO_P = 80
 
 # bronze/silver tables on the driver data: canonical name -> (binding attr, columns)
 BRONZE_TABLES: dict[str, tuple[str, list[str]]] = {
@@ -92,80 +94,17 @@ def _silver(table):
     return _q(lambda t: silver(table, bronze_of(t, table)))
 
 
-def _growth_trim(t):
-    return ser.monthly_growth(t.orders, t.items, trim=(*TRUST_WINDOW, "before"))
-
-
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    # ingest (bronze text, silver typed), load validation, de-dup
+    # ingest: the binding rendered as raw text (bronze), typed again (silver)
     for table in BRONZE_TABLES:
         q[f"bronze_{table}"] = _bronze(table)
     for table in ["orders", "order_items", "order_payments", "order_reviews", "products",
                   "customers", "sellers", "category_translation"]:
         q[f"silver_{table}"] = _silver(table)
     q["row_counts"] = _q(lambda t: row_counts({k: bronze_of(t, k) for k in BRONZE_TABLES}))
-    q["dup_diagnosis"] = _q(lambda t: qa.dup_diagnosis(t.geolocation, "geolocation_zip_code_prefix"))
-    q["centroid_dedup"] = _q(lambda t: qa.centroid_dedup(
-        t.geolocation, "geolocation_zip_code_prefix", ["geolocation_lat"],
-        ["geolocation_city", "geolocation_state"]))
-    q["fanout_factor"] = _q(lambda t: qa.fanout_factor(t.geolocation, "geolocation_zip_code_prefix"))
-    # act 1
-    q["time_range"] = _q(lambda t: qa.time_range(t.orders))
-    q["revenue_fanned_out"] = _q(lambda t: qa.revenue_fanned_out(t.orders, t.items, t.payments))
-    q["revenue_item_grain"] = _q(lambda t: qa.revenue_item_grain(t.items))
-    q["revenue_inflation"] = _q(lambda t: qa.revenue_inflation(
-        qa.revenue_fanned_out(t.orders, t.items, t.payments), qa.revenue_item_grain(t.items)))
-    q["monthly_growth"] = _q(lambda t: ser.monthly_growth(t.orders, t.items))
-    q["revenue_moving_avg"] = _q(lambda t: ser.moving_average(t.orders, t.items, 3))
-    q["revenue_running_total"] = _q(lambda t: ser.running_total(t.orders, t.items))
-    q["revenue_reconcile"] = _q(lambda t: qa.reconcile(ser.running_total(t.orders, t.items),
-                                                       qa.revenue_item_grain(t.items)))
-    q["monthly_growth_masked"] = _q(lambda t: ser.small_base_flag(
-        ser.monthly_growth(t.orders, t.items), SMALL_BASE_FLOOR))
-    q["monthly_growth_trimmed"] = _q(_growth_trim)
-    q["category_pareto"] = _q(lambda t: conc.pareto(t.items, t.products))
-    q["pareto_threshold"] = _q(lambda t: conc.pareto_threshold(t.items, t.products, PARETO_P))
-    # act 2
-    q["seller_decile_share"] = _q(lambda t: conc.ntile_share(t.items, "seller_id", 10))
-    q["seller_cumulative_share"] = _q(lambda t: conc.top_tile_share(conc.ntile_share(t.items, "seller_id", 10)))
-    q["purchase_frequency"] = _q(lambda t: cust.frequency_distribution(t.customers, t.orders))
-    q["one_time_share"] = _q(lambda t: cust.one_time_share(t.customers, t.orders))
-    q["reachable_persons"] = _q(lambda t: qa.reachable_persons(t.customers, t.orders))
-    q["itemless_orders"] = _q(lambda t: qa.orphans(t.orders, t.items, "order_id"))
-    q["staged_counts"] = _q(lambda t: qa.staged_counts(t.customers, t.orders, t.items))
-    q["spend_quartiles"] = _q(lambda t: cust.spend_tiers(t.customers, t.orders, t.items, 4))
-    q["repeat_buyers"] = _q(lambda t: cust.repeat_flag(t.customers, t.orders, t.items))
-    q["repeat_ratio"] = _q(lambda t: cust.disproportionality(t.customers, t.orders, t.items))
-    q["identity_trap"] = _q(lambda t: qa.identity_trap(t.customers, t.orders, ("customer_id", "paired_id")))
-    q["platform_growth"] = _q(lambda t: grw.platform_growth(
-        t.orders, t.items, t.products, YEAR_A, YEAR_B, MATCHED_MONTHS))
-    q["category_share_shift"] = _q(lambda t: grw.share_shift(
-        t.orders, t.items, t.products, YEAR_A, YEAR_B, MATCHED_MONTHS, SHARE_FLOOR))
-    q["share_trend_counts"] = _q(lambda t: grw.share_trend_counts(grw.share_shift(
-        t.orders, t.items, t.products, YEAR_A, YEAR_B, MATCHED_MONTHS, SHARE_FLOOR)))
-    q["null_category_revenue"] = _q(lambda t: qa.null_bucket_size(t.items, t.products))
-    # act 3
-    q["delay_distribution"] = _q(lambda t: dlv.delay_distribution(t.orders))
-    q["delay_bucket_score"] = _q(lambda t: dlv.bucket_score(t.orders, t.reviews))
-    q["pre_delivery_exclusion"] = _q(lambda t: dlv.exclusion_effect(t.orders, t.reviews))
-    q["early_share"] = _q(lambda t: dlv.early_share(t.orders))
-    q["undelivered_by_status"] = _q(lambda t: qa.undelivered_preserved(t.orders))
-    q["first_delivered_order"] = _q(lambda t: ret.first_delivered(t.customers, t.orders))
-    q["state_cell_sizes"] = _q(lambda t: ret.cell_sizes(t.customers, t.orders))
-    q["thin_cells"] = _q(lambda t: ret.thin_cells(ret.cell_sizes(t.customers, t.orders), THIN_FLOOR))
-    for suffix, since in (("", False), ("_since_2001", True)):
-        q[f"region_return_rate{suffix}"] = _q(
-            lambda t: ret.stratified_rate(t.customers, t.orders, t.region_map), since)
-        q[f"region_gap{suffix}"] = _q(
-            lambda t: ret.stratum_gap(ret.stratified_counts(t.customers, t.orders, t.region_map)), since)
-        q[f"delivery_return_rate{suffix}"] = _q(lambda t: ret.exposure_rate(t.customers, t.orders), since)
-        q[f"counterfactual_bound{suffix}"] = _q(
-            lambda t: ret.counterfactual_bound(ret.exposure_rate(t.customers, t.orders)), since)
-        q[f"spend_tier_return{suffix}"] = _q(
-            lambda t: ret.tier_return_rate(t.customers, t.orders, t.items, 4), since)
-        q[f"tier_one_time{suffix}"] = _q(
-            lambda t: ret.one_time_within_tier(t.customers, t.orders, t.items, 4), since)
-    q["spend_tier_return_first_order"] = _q(
-        lambda t: ret.tier_return_rate(t.customers, t.orders, t.items, 4, spend_basis="first_order"))
+    for name, fn in analyses(TPCH_PARAMS).items():
+        q[name] = _q(fn)
+    for name, fn in retention_analyses(TPCH_PARAMS).items():
+        q[f"{name}_since_2001"] = _q(fn, since=True)
     return q
