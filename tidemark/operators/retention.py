@@ -43,9 +43,30 @@ def returned_flag(customers: DataFrame, orders: DataFrame, min_orders: int = 2)
         PERSON, (F.col("order_count") >= min_orders).cast("int").alias("returned"))
 
 
-def _exposed(customers, orders, strata, min_orders):
-    first = first_delivered(customers, orders, strata).withColumn("delivery_bucket", late_flag())
-    return first.join(returned_flag(customers, orders, min_orders), PERSON)
+def _exposed(customers: DataFrame, orders: DataFrame, strata: list[str], min_orders: int) -> DataFrame:
+    """person, strata…, delay_days, delivery_bucket, returned — exposure and
+    outcome in one pass.
+
+    Equivalent to joining :func:`first_delivered` to :func:`returned_flag`
+    on the person, but orders are scanned and joined to customers once: a
+    single person-level aggregate takes the distinct order count (all
+    statuses) and ``min_by`` of the delivery payload ordered by
+    (purchase time nulls last, order id) over delivered orders only
+    (undelivered rows carry a NULL ordering key, which ``min_by`` skips).
+    Persons without a delivered order are dropped, as the inner join does.
+    """
+    strata = list(strata)
+    j = (customers.select("customer_id", PERSON, *strata)
+         .join(orders.select("order_id", "customer_id", PURCHASE, DELIVERED, ESTIMATED), "customer_id"))
+    first_key = F.when(F.col(DELIVERED).isNotNull(), F.struct(
+        F.col(PURCHASE).isNull().cast("int").alias("k0"), F.col(PURCHASE).alias("k1"),
+        F.col("order_id").alias("k2")))
+    payload = F.struct(delay_days(DELIVERED, ESTIMATED).alias("delay_days"), *[F.col(c) for c in strata])
+    per = j.groupBy(PERSON).agg(F.countDistinct("order_id").alias("_n"),
+                                F.min_by(payload, first_key).alias("_first"))
+    return (per.where(F.col("_first").isNotNull())
+            .select(PERSON, "_first.*", (F.col("_n") >= min_orders).cast("int").alias("returned"))
+            .withColumn("delivery_bucket", late_flag()))
 
 
 def cell_sizes(customers: DataFrame, orders: DataFrame, strata: str = "customer_state") -> DataFrame:

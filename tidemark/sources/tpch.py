@@ -96,7 +96,7 @@ def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def nation_region():
         n, rg = r("nation"), r("region")
-        return n.join(rg, n.n_regionkey == rg.r_regionkey).select(
+        return n.join(F.broadcast(rg), n.n_regionkey == rg.r_regionkey).select(
             "n_nationkey", F.col("n_name").alias("customer_state"), F.col("r_name").alias("region"))
 
     def customers():
