@@ -3,7 +3,9 @@
 The two windows are half-open timestamp ranges on the purchase time (not
 ``EXTRACT(YEAR)`` predicates), so they reach the Parquet scan as pushed
 filters.  The platform benchmark is computed, not typed in, and is compared
-unrounded; it is attached to the category rows as a scalar subquery.
+unrounded; it is attached to the category rows as a scalar subquery (the
+per-category aggregate it reads is the same exchange as the main plan's,
+which Spark reuses rather than recomputing).
 """
 
 from __future__ import annotations

@@ -96,23 +96,25 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def staged_counts(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """Persons and orders surviving each join stage, and the gap between them.
 
-    The item stage is a left-semi join (orders that have items), so item rows
-    are never multiplied into the count.
+    One pass: customers ⋈ orders is flagged with whether the order has items
+    (a join to the distinct item order ids, so item rows are never
+    multiplied in), and a single aggregate takes all four distinct counts;
+    the three result rows are generated from that one row.
     """
-    reach = customers.select("customer_id", PERSON).join(
-        orders.select("order_id", "customer_id"), "customer_id")
-    with_items = reach.join(items.select("order_id"), "order_id", "left_semi")
-
-    def stage(df, name):
-        return df.agg(F.countDistinct(PERSON).alias("persons"),
-                      F.countDistinct("order_id").alias("orders")).select(
-            F.lit(name).alias("stage"), "persons", "orders")
-
-    a, b = stage(reach, "reachable"), stage(with_items, "with_items")
-    gap = a.select(F.lit("gap").alias("stage"),
-                   (F.col("persons") - b.select("persons").scalar()).alias("persons"),
-                   (F.col("orders") - b.select("orders").scalar()).alias("orders"))
-    return reduce(DataFrame.unionByName, [a, b, gap])
+    with_items = items.select("order_id").distinct().withColumn("_has", F.lit(True))
+    reach = (customers.select("customer_id", PERSON)
+             .join(orders.select("order_id", "customer_id"), "customer_id")
+             .join(with_items, "order_id", "left"))
+    has = F.col("_has").isNotNull()
+    c = reach.agg(F.countDistinct(PERSON).alias("p_all"), F.countDistinct("order_id").alias("o_all"),
+                  F.countDistinct(F.when(has, F.col(PERSON))).alias("p_it"),
+                  F.countDistinct(F.when(has, F.col("order_id"))).alias("o_it"))
+    rows = F.array(
+        F.struct(F.lit("reachable").alias("stage"), F.col("p_all").alias("persons"), F.col("o_all").alias("orders")),
+        F.struct(F.lit("with_items").alias("stage"), F.col("p_it").alias("persons"), F.col("o_it").alias("orders")),
+        F.struct(F.lit("gap").alias("stage"), (F.col("p_all") - F.col("p_it")).alias("persons"),
+                 (F.col("o_all") - F.col("o_it")).alias("orders")))
+    return c.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def null_bucket_size(items: DataFrame, products: DataFrame,
