@@ -94,22 +94,29 @@ def rank_desc(df: DataFrame, value: str, key: str, *,
     order = [F.col(value).desc_nulls_last(), F.col(key).asc_nulls_last()]
 
     if n_buckets == 1:
-        bucketed = base.withColumn(BUCKET, F.lit(0))
-    else:
-        sk = _sort_key(value, key)
-        fraction = min(1.0, OVERSAMPLE * n_buckets / n * 1.2)
-        cap = OVERSAMPLE * n_buckets * 2
-        sample = (base.select(sk.alias("sk")).sample(False, fraction, seed)
-                  .limit(cap).orderBy("sk").collect())
-        picks = [sample[(i * len(sample)) // n_buckets] for i in range(1, n_buckets)] if sample else []
-        types = [f.dataType.simpleString() for f in base.select(sk.alias("sk")).schema["sk"].dataType.fields]
-        uniq = []
-        for r in picks:
-            t = tuple(r["sk"])
-            if not uniq or uniq[-1] != t:
-                uniq.append(t)
-        bounds = [_lit_key(t, types) for t in uniq]
-        bucketed = base.withColumn(BUCKET, _bucket_of(sk, bounds, 0, len(bounds)) if bounds else F.lit(0))
+        # at most rows_per_bucket rows: one sorted task is the plan, and no
+        # bucket table or join is needed
+        w1 = Window.orderBy(*order)
+        out = (base.withColumn(RANK, F.row_number().over(w1).cast("bigint"))
+               .withColumn(RUNNING, F.sum(value).over(w1.rowsBetween(Window.unboundedPreceding,
+                                                                      Window.currentRow)))
+               .withColumn("_total", F.sum(value).over(Window.partitionBy())))
+        return out, n
+
+    sk = _sort_key(value, key)
+    fraction = min(1.0, OVERSAMPLE * n_buckets / n * 1.2)
+    cap = OVERSAMPLE * n_buckets * 2
+    sample = (base.select(sk.alias("sk")).sample(False, fraction, seed)
+              .limit(cap).orderBy("sk").collect())
+    picks = [sample[(i * len(sample)) // n_buckets] for i in range(1, n_buckets)] if sample else []
+    types = [f.dataType.simpleString() for f in base.select(sk.alias("sk")).schema["sk"].dataType.fields]
+    uniq = []
+    for r in picks:
+        t = tuple(r["sk"])
+        if not uniq or uniq[-1] != t:
+            uniq.append(t)
+    bounds = [_lit_key(t, types) for t in uniq]
+    bucketed = base.withColumn(BUCKET, _bucket_of(sk, bounds, 0, len(bounds)) if bounds else F.lit(0))
 
     w = Window.partitionBy(BUCKET).orderBy(*order)
     local = (bucketed

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import delivery as dlv
+from tidemark.operators import series as ser
 from tidemark.plans.analyses import Params, analyses, retention_analyses
 from tidemark.sources.bronze import row_counts, to_bronze
 from tidemark.sources.silver import silver
@@ -65,17 +67,19 @@ def _since(t: Tables) -> Tables:
         F.col("order_purchase_timestamp") >= F.lit(RETURN_SINCE).cast("timestamp_ntz")))
 
 
-_BOUND: dict[tuple[int, str], Tables] = {}
+_BOUND: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
 
 
 def bound_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The binding for (session, folder), built once: table handles are
     reused across queries the way a catalog keeps them, so repeated queries
-    do not re-list files or re-read Parquet footers."""
+    do not re-list files or re-read Parquet footers.  A stopped or different
+    session gets a fresh binding."""
     key = (id(spark), sf_dir)
-    if key not in _BOUND:
-        _BOUND[key] = tpch_tables(spark, sf_dir)
-    return _BOUND[key]
+    hit = _BOUND.get(key)
+    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
+        _BOUND[key] = (spark, tpch_tables(spark, sf_dir))
+    return _BOUND[key][1]
 
 
 def _q(fn: Callable[[Tables], DataFrame], since: bool = False):
@@ -105,6 +109,9 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["row_counts"] = _q(lambda t: row_counts({k: bronze_of(t, k) for k in BRONZE_TABLES}))
     for name, fn in analyses(TPCH_PARAMS).items():
         q[name] = _q(fn)
+    q["delay_bucket_score_by_date"] = _q(lambda t: dlv.bucket_score(t.orders, t.reviews, by_date=True))
+    q["monthly_growth_trimmed_after"] = _q(
+        lambda t: ser.monthly_growth(t.orders, t.items, trim=(*TRUST_WINDOW, "after")))
     for name, fn in retention_analyses(TPCH_PARAMS).items():
         q[f"{name}_since_2001"] = _q(fn, since=True)
     return q
