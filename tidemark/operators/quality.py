@@ -137,7 +137,8 @@ def identity_trap(customers: DataFrame, orders: DataFrame,
                   keys: tuple[str, ...] = ("customer_id", PERSON), min_orders: int = 2) -> DataFrame:
     """Repeat rate keyed on each id column side by side: a per-record id
     fabricates a different retention figure than the per-person id."""
-    joined = customers.select(*{*keys, "customer_id"}).join(
+    cols = list(dict.fromkeys(["customer_id", *keys]))
+    joined = customers.select(*cols).join(
         orders.select("order_id", "customer_id"), "customer_id")
     parts = []
     for k in keys:
