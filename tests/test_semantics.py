@@ -185,3 +185,40 @@ def test_driver_fixture_values(spark):
     assert q["revenue_fanned_out"](spark, SF_MID).first().revenue_wrong == D("4249257683.25")
     assert q["itemless_orders"](spark, SF_MID).first().orphan_count == 257
     assert q["null_category_revenue"](spark, SF_MID).first().null_revenue == D("116625000.12")
+
+
+def test_small_base_mask_and_trim(fx):
+    g = ser.small_base_flag(ser.monthly_growth(fx["orders"], fx["items"]), floor=40)
+    r = {x.month.month: (x.small_base, x.mom_growth_pct) for x in g.collect()}
+    assert r == {2: (False, None), 3: (True, None)}          # 33.00 base is below 40: masked
+    before = ser.monthly_growth(fx["orders"], fx["items"], trim=("2018-03-01 00:00:00", "2018-04-01 00:00:00", "before"))
+    after = ser.monthly_growth(fx["orders"], fx["items"], trim=("2018-03-01 00:00:00", "2018-04-01 00:00:00", "after"))
+    # trimming first hides February from LAG; trimming last keeps it as the base
+    assert before.first().previous_month_revenue is None
+    assert after.first().previous_month_revenue == D("33.00")
+
+
+def test_region_gap_and_tiers(fx, spark):
+    s = spark.createDataFrame(
+        [("North", "late", 10, 1), ("North", "not_late", 30, 6), ("South", "not_late", 5, 1)],
+        "region string, delivery_bucket string, customers long, returners long")
+    g = {r.region: (r.not_late_pct, r.late_pct, r.gap, r.late_worse, r.late_customers)
+         for r in ret.stratum_gap(s).collect()}
+    assert g["North"] == (20.0, 10.0, 10.0, True, 10)
+    assert g["South"] == (20.0, None, None, None, 0)
+    one = {r.spend_quartile: r.one_time_pct for r in ret.one_time_within_tier(
+        fx["customers"], fx["orders"], fx["items"], n=2).collect()}
+    assert one == {1: 0.0, 2: 100.0}
+
+
+def test_undelivered_kept_by_status(fx):
+    u = {r.order_status: (r.orders, r.undelivered) for r in qa.undelivered_preserved(fx["orders"]).collect()}
+    assert u == {"canceled": (2, 2), "delivered": (3, 0)}
+    e = dlv.early_share(fx["orders"]).first()
+    assert (e.delivered, e.early) == (3, 1)
+
+
+def test_first_order_spend_basis(fx):
+    r = {x.spend_quartile: x.customers for x in ret.tier_return_rate(
+        fx["customers"], fx["orders"], fx["items"], n=3, spend_basis="first_order").collect()}
+    assert r == {1: 1, 2: 1, 3: 1}
