@@ -78,16 +78,29 @@ def _bucket_of(sk: Column, bounds: list[Column], lo: int, hi: int) -> Column:
             .otherwise(_bucket_of(sk, bounds, lo, mid - 1))
 
 
+ROWS_PER_BUCKET_CONF = "tidemark.rank.rows_per_bucket"
+
+
+def _session_int(df: DataFrame, conf: str, default: int) -> int:
+    try:
+        return int(df.sparkSession.conf.get(conf, str(default)))
+    except (TypeError, ValueError):
+        return default
+
+
 def rank_desc(df: DataFrame, value: str, key: str, *,
-              rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+              rows_per_bucket: int | None = None,
               max_buckets: int = DEFAULT_MAX_BUCKETS,
               seed: int = 17, checkpoint: bool = True) -> tuple[DataFrame, int]:
     """Exact global rank and running sum by ``value`` desc, ``key`` asc.
 
     ``key`` must be unique in ``df``.  Adds ``_rank`` (1..N, bigint) and
     ``_running`` (running sum of ``value`` in rank order) and the grand total
-    ``_total``.  Returns the frame and N.
+    ``_total``.  Returns the frame and N.  ``rows_per_bucket`` defaults to the
+    session setting ``tidemark.rank.rows_per_bucket`` (else 2,000,000).
     """
+    if rows_per_bucket is None:
+        rows_per_bucket = _session_int(df, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
     base = materialize(df) if checkpoint else df
     n = base.count()
     n_buckets = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
