@@ -222,3 +222,43 @@ def test_first_order_spend_basis(fx):
     r = {x.spend_quartile: x.customers for x in ret.tier_return_rate(
         fx["customers"], fx["orders"], fx["items"], n=3, spend_basis="first_order").collect()}
     assert r == {1: 1, 2: 1, 3: 1}
+
+
+def test_hot_person_holds_a_third_of_orders(spark):
+    """One person with a third of all orders: exposure/return and spend tiers
+    equal a brute-force computation (no capping, no sampling)."""
+    n = 3000
+    orders = spark.range(n).select(
+        F.col("id").cast("string").alias("order_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 401).cast("string")).alias("customer_id"),
+        F.lit("delivered").alias("order_status"),
+        F.expr("timestamp_ntz'2018-01-01 00:00:00' + make_dt_interval(0, CAST(id % 500 AS INT))")
+         .alias("order_purchase_timestamp"),
+        F.expr("CASE WHEN id % 7 = 0 THEN NULL ELSE timestamp_ntz'2018-03-01 00:00:00' + "
+               "make_dt_interval(CAST(id % 11 AS INT)) END").alias("order_delivered_customer_date"),
+        F.expr("timestamp_ntz'2018-03-06 00:00:00'").alias("order_estimated_delivery_date"))
+    customers = orders.select("customer_id").distinct().select(
+        "customer_id", F.col("customer_id").alias("customer_unique_id"), F.lit("SP").alias("customer_state"))
+    items = orders.select("order_id", F.lit("p").alias("product_id"), F.lit("s").alias("seller_id"),
+                          F.lit(D("1.00")).cast("decimal(18,2)").alias("price"),
+                          (F.col("order_id").cast("int") % 5).cast("decimal(18,2)").alias("freight_value"))
+    # brute force in Python
+    o = orders.collect()
+    per = {}
+    for r in o:
+        per.setdefault(r.customer_id, []).append(r)
+    want = {}
+    for cid, rs in per.items():
+        d = sorted([r for r in rs if r.order_delivered_customer_date is not None],
+                   key=lambda r: (r.order_purchase_timestamp, r.order_id))
+        if not d:
+            continue
+        first = d[0]
+        delay = (first.order_delivered_customer_date.date() - first.order_estimated_delivery_date.date()).days
+        b = "late" if delay > 0 else "not_late"
+        c, ret_ = want.get(b, (0, 0))
+        want[b] = (c + 1, ret_ + (1 if len(rs) >= 2 else 0))
+    got = {r.delivery_bucket: (r.customers, r.returners) for r in ret.exposure_rate(customers, orders).collect()}
+    assert got == want
+    tiers = {r.spend_quartile: r.customers for r in cust.spend_tiers(customers, orders, items, 4).collect()}
+    assert sum(tiers.values()) == len(per) and max(tiers.values()) - min(tiers.values()) <= 1
