@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import money, pct, ratio, revenue, round_half
-from tidemark.operators.primitives import RANK, RUNNING, ntile_desc, rank_desc, share_over_all
+from tidemark.operators.primitives import RUNNING, ntile_desc, rank_desc, share_over_all
 
 
 def entity_revenue(items: DataFrame, entity: str, products: DataFrame | None = None,

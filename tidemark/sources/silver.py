@@ -80,10 +80,15 @@ def silver_category_translation(bronze: DataFrame, reject: bool = False):
     return silver("category_translation", bronze, reject)
 
 
-def write_silver(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def write_silver(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                 max_records_per_file: int = 5_000_000) -> None:
     """Sink: overwrite a Parquet table (optionally partitioned, e.g. orders
-    by purchase month so date-window queries prune whole directories)."""
-    w = df.write.mode("overwrite")
+    by purchase month so date-window queries prune whole directories).
+
+    No shuffle is added before the write (a repartition by month would send
+    a hot month to one task); each task writes its own files, capped at
+    ``max_records_per_file`` rows so no single file grows without bound."""
+    w = df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
