@@ -83,3 +83,12 @@ def test_native_headlines(native):
     shift = {r.product_category_name: r.share_trend for r in a["category_share_shift"](t).collect()}
     # beleza grows 199.90% while the platform grows 199.93% (moveis has no 2017 base)
     assert shift == {"beleza": "losing share"}
+
+
+def test_report_writes_every_result(spark, native, tmp_path):
+    from tidemark.plans.report import run_report
+    _, t = native
+    out = str(tmp_path / "report")
+    names = run_report(t, out)
+    assert "counterfactual_bound" in names and len(names) == len(analyses(NATIVE_PARAMS))
+    assert spark.read.parquet(f"{out}/counterfactual_bound").count() == 1
