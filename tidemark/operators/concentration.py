@@ -37,7 +37,8 @@ def pareto(items: DataFrame, products: DataFrame, entity: str = "product_categor
     ranked, _ = _pareto_ranked(items, products, entity, alias, **kw)
     return ranked.select(
         alias, money("revenue").alias("revenue"), money(RUNNING).alias("running_total"),
-        round_half(ratio(RUNNING, "_total") * 100, 2).alias("cumulative_pct"))
+        round_half(ratio(RUNNING, "_total") * 100, 2).alias("cumulative_pct"),
+    ).orderBy(F.col("revenue").desc_nulls_last(), F.col(alias).asc_nulls_last())
 
 
 def pareto_threshold(items: DataFrame, products: DataFrame, p: float = 80,
@@ -61,7 +62,8 @@ def ntile_share(items: DataFrame, entity: str = "seller_id", n: int = 10,
     agg = tiled.groupBy(tile).agg(F.count(F.lit(1)).alias(count_name),
                                   F.sum("revenue").alias("_rev"))
     return agg.select(tile, count_name, money("_rev").alias(revenue_name),
-                      round_half(ratio("_rev", share_over_all("_rev")) * 100, 2).alias("pct_of_total"))
+                      round_half(ratio("_rev", share_over_all("_rev")) * 100, 2).alias("pct_of_total")
+                      ).orderBy(tile)
 
 
 def top_tile_share(tiles: DataFrame, tile: str = "decile",
@@ -69,4 +71,5 @@ def top_tile_share(tiles: DataFrame, tile: str = "decile",
     """Cumulative revenue share from the top tile down (≤ n rows)."""
     w = Window.orderBy(tile).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return tiles.select(tile, round_half(
-        ratio(F.sum(revenue_name).over(w), share_over_all(revenue_name)) * 100, 2).alias("cumulative_pct"))
+        ratio(F.sum(revenue_name).over(w), share_over_all(revenue_name)) * 100, 2).alias("cumulative_pct")
+    ).orderBy(tile)

@@ -48,7 +48,8 @@ def frequency_distribution(customers: DataFrame, orders: DataFrame) -> DataFrame
     """purchase_count, number_of_customers."""
     return (person_orders(customers, orders)
             .groupBy(F.col("order_count").alias("purchase_count"))
-            .agg(F.count(F.lit(1)).alias("number_of_customers")))
+            .agg(F.count(F.lit(1)).alias("number_of_customers"))
+            .orderBy("purchase_count"))
 
 
 def one_time_share(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def spend_tiers(customers: DataFrame, orders: DataFrame, items: DataFrame, n: in
     return agg.select(
         tile, "customers", money("_rev").alias("tier_revenue"),
         round_half(ratio("_rev", share_over_all("_rev")) * 100, 2).alias("pct_of_revenue"),
-        round_half(ratio("_rev", "customers"), 2).alias("avg_spend"))
+        round_half(ratio("_rev", "customers"), 2).alias("avg_spend")).orderBy(tile)
 
 
 def _repeat_groups(customers, orders, items, min_orders):

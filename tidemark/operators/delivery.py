@@ -54,7 +54,8 @@ def bucket_score(orders: DataFrame, reviews: DataFrame, by_date: bool = False) -
     return (r.groupBy(delivery_bucket().alias("delivery_bucket"))
             .agg(F.count(F.lit(1)).alias("reviews_counted"),
                  F.sum("review_score").alias("_s"), F.count("review_score").alias("_n"))
-            .select("delivery_bucket", "reviews_counted", round_half(ratio("_s", "_n"), 2).alias("avg_score")))
+            .select("delivery_bucket", "reviews_counted", round_half(ratio("_s", "_n"), 2).alias("avg_score"))
+            .orderBy(F.col("avg_score").desc_nulls_first(), "delivery_bucket"))
 
 
 def exclusion_effect(orders: DataFrame, reviews: DataFrame, by_date: bool = False) -> DataFrame:

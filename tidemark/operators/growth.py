@@ -67,7 +67,8 @@ def share_shift(orders: DataFrame, items: DataFrame, products: DataFrame,
     return (cy.where(F.col(ra) >= F.lit(floor))
             .select("product_category_name", ra, rb,
                     round_half(g, 2).alias("growth_rate"),
-                    F.when(g >= bench, "gaining share").otherwise("losing share").alias("share_trend")))
+                    F.when(g >= bench, "gaining share").otherwise("losing share").alias("share_trend"))
+            .orderBy(F.col("growth_rate").desc_nulls_first(), F.col("product_category_name")))
 
 
 def share_trend_counts(shift: DataFrame) -> DataFrame:

@@ -72,8 +72,8 @@ def _exposed(customers: DataFrame, orders: DataFrame, strata: list[str], min_ord
 def cell_sizes(customers: DataFrame, orders: DataFrame, strata: str = "customer_state") -> DataFrame:
     """First delivered orders per stratum × late flag."""
     first = first_delivered(customers, orders, [strata])
-    return first.groupBy(strata, late_flag().alias("delivery_bucket")).agg(
-        F.count(F.lit(1)).alias("first_orders"))
+    return (first.groupBy(strata, late_flag().alias("delivery_bucket"))
+            .agg(F.count(F.lit(1)).alias("first_orders")).orderBy(strata, "delivery_bucket"))
 
 
 def thin_cells(cells: DataFrame, floor: int = 30, strata: str = "customer_state") -> DataFrame:
@@ -115,7 +115,7 @@ def stratified_rate(customers: DataFrame, orders: DataFrame, region_map: DataFra
     """Return rate per region × late flag."""
     s = stratified_counts(customers, orders, region_map, state, min_orders)
     return s.select("region", "delivery_bucket", "customers",
-                    pct("returners", "customers").alias("return_rate_pct"))
+                    pct("returners", "customers").alias("return_rate_pct")).orderBy("region", "delivery_bucket")
 
 
 def exposure_rate(customers: DataFrame, orders: DataFrame, min_orders: int = 2) -> DataFrame:
@@ -197,7 +197,7 @@ def tier_return_rate(customers: DataFrame, orders: DataFrame, items: DataFrame,
     """Spend tier × return rate and mean spend."""
     t = tier_counts(customers, orders, items, n, spend_basis, min_orders, tile, **kw)
     return t.select(tile, "customers", round_half(ratio("_rev", "customers"), 2).alias("avg_spend"),
-                    pct("_ret", "customers").alias("return_rate_pct"))
+                    pct("_ret", "customers").alias("return_rate_pct")).orderBy(tile)
 
 
 def one_time_within_tier(customers: DataFrame, orders: DataFrame, items: DataFrame, n: int = 4,

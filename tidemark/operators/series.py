@@ -57,7 +57,7 @@ def monthly_growth(orders: DataFrame, items: DataFrame,
             .withColumn("mom_growth_pct",
                         round_half((ratio("revenue", "previous_month_revenue") - 1) * 100, 2)))
     return _trimmed(out, trim, "after").select(
-        MONTH, "monthly_volume", "revenue", "previous_month_revenue", "mom_growth_pct")
+        MONTH, "monthly_volume", "revenue", "previous_month_revenue", "mom_growth_pct").orderBy(MONTH)
 
 
 def moving_average(orders: DataFrame, items: DataFrame, k: int = 3,
@@ -68,7 +68,7 @@ def moving_average(orders: DataFrame, items: DataFrame, k: int = 3,
     frame = Window.orderBy(MONTH).rowsBetween(-(k - 1), Window.currentRow)
     out = s.withColumn(f"revenue_{k}month_moving_avg",
                        F.sum("revenue").over(frame).cast("double") / F.count("revenue").over(frame))
-    return _trimmed(out, trim, "after").select(MONTH, "revenue", f"revenue_{k}month_moving_avg")
+    return _trimmed(out, trim, "after").select(MONTH, "revenue", f"revenue_{k}month_moving_avg").orderBy(MONTH)
 
 
 def running_total(orders: DataFrame, items: DataFrame,
@@ -77,7 +77,7 @@ def running_total(orders: DataFrame, items: DataFrame,
     s = _series(orders, items, trim)
     frame = Window.orderBy(MONTH).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = s.withColumn("running_total_revenue", money(F.sum("revenue").over(frame)))
-    return _trimmed(out, trim, "after").select(MONTH, "revenue", "running_total_revenue")
+    return _trimmed(out, trim, "after").select(MONTH, "revenue", "running_total_revenue").orderBy(MONTH)
 
 
 def small_base_flag(growth: DataFrame, floor: float) -> DataFrame:
