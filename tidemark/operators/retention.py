@@ -160,6 +160,27 @@ def stratum_gap(stratified: DataFrame) -> DataFrame:
                     F.col("_nl").alias("late_customers"))
 
 
+def spend_and_return(customers: DataFrame, orders: DataFrame, items: DataFrame,
+                     min_orders: int = 2) -> DataFrame:
+    """person, revenue (orders that have items), returned (≥ min_orders
+    distinct orders of any status) — one customers⋈orders join and one
+    person-level aggregate instead of two.
+
+    Orders are left-joined to their per-order item revenue, so itemless
+    orders still count toward ``returned``; persons with no order that has
+    items get a NULL revenue and are dropped, as the inner join to items
+    drops them from the spend population.
+    """
+    from tidemark.operators.customers import order_revenue
+    per = (customers.select("customer_id", PERSON)
+           .join(orders.select("order_id", "customer_id"), "customer_id")
+           .join(order_revenue(items), "order_id", "left")
+           .groupBy(PERSON).agg(F.sum("_order_rev").alias("revenue"),
+                                F.countDistinct("order_id").alias("_n")))
+    return per.where(F.col("revenue").isNotNull()).select(
+        PERSON, "revenue", (F.col("_n") >= min_orders).cast("int").alias("returned"))
+
+
 def first_order_spend(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """person, revenue of the person's first order that has items — the
     non-circular spend basis (a second order cannot lift the tier)."""
@@ -180,13 +201,14 @@ def tier_counts(customers: DataFrame, orders: DataFrame, items: DataFrame, n: in
     circular: repeat buyers spend more because they returned.
     ``"first_order"`` ranks on first-order spend instead."""
     if spend_basis == "all":
-        spend = person_spend(customers, orders, items).select(PERSON, "revenue")
+        j = ntile_desc(spend_and_return(customers, orders, items, min_orders), "revenue", PERSON, n,
+                       alias=tile, **kw)
     elif spend_basis == "first_order":
         spend = first_order_spend(customers, orders, items)
+        tiled = ntile_desc(spend, "revenue", PERSON, n, alias=tile, **kw)
+        j = tiled.join(returned_flag(customers, orders, min_orders), PERSON)
     else:
         raise ValueError(spend_basis)
-    tiled = ntile_desc(spend, "revenue", PERSON, n, alias=tile, **kw)
-    j = tiled.join(returned_flag(customers, orders, min_orders), PERSON)
     return j.groupBy(tile).agg(F.count(F.lit(1)).alias("customers"), F.sum("revenue").alias("_rev"),
                                F.sum("returned").cast("bigint").alias("_ret"))
 
