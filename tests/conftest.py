@@ -14,7 +14,8 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from tidemark.session import get_session
-    s = get_session("local[4]", app_name="tidemark-tests", shuffle_partitions=8)
+    s = get_session("local[4]", app_name="tidemark-tests", shuffle_partitions=8,
+                    extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tidemark-wh-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -92,3 +92,28 @@ def test_report_writes_every_result(spark, native, tmp_path):
     names = run_report(t, out)
     assert "counterfactual_bound" in names and len(names) == len(analyses(NATIVE_PARAMS))
     assert spark.read.parquet(f"{out}/counterfactual_bound").count() == 1
+
+
+def test_bucketed_silver_avoids_order_shuffles(spark, tmp_path):
+    import contextlib
+    import io
+
+    from tidemark.sources.native import catalog_tables
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for t, text in RAW.items():
+        (raw / f"{t}.csv").write_text(text)
+    build_silver(spark, str(raw), str(tmp_path / "silver"), buckets=4, database="tidemark_bucketed_test")
+    t = catalog_tables(spark, "tidemark_bucketed_test")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = analyses(NATIVE_PARAMS)["monthly_growth"](t)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        assert "Exchange hashpartitioning(order_id" not in buf.getvalue()
+        native_rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(native_rows) == 2
