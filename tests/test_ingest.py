@@ -111,3 +111,15 @@ def test_streaming_ingest(spark, scratch):
     got = spark.read.parquet(out)
     assert got.count() == 4
     assert got.where("order_id = 'o9'").first().order_delivered_customer_date is None
+
+
+def test_streaming_rejects_go_to_their_own_sink(spark, scratch):
+    landing = os.path.join(scratch, "landing_r")
+    os.makedirs(landing)
+    _write(landing, "orders-bad.csv", ORDERS_CSV + "o4,c4,delivered,not-a-date,,,,2017-11-22 00:00:00\n")
+    out, rej = os.path.join(scratch, "silver_r"), os.path.join(scratch, "rejects_r")
+    for q in stream_to_silver(spark, landing, "orders", out, checkpoint=os.path.join(scratch, "ck_r"),
+                              reject_dir=rej):
+        q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 4
+    assert [r.order_id for r in spark.read.parquet(rej).collect()] == ["o4"]
