@@ -4,8 +4,8 @@ Guarded columns go through ``NULLIF(TRIM(col), '')`` before the cast so a
 meaningful blank (an undelivered order) survives as NULL.  Unguarded
 columns are cast strictly: with ANSI mode a blank there fails the job, as
 the source pipeline intends.  ``reject=True`` switches every cast to
-``try_cast`` and also returns the rows where a non-blank value did not
-parse, instead of failing.
+``try_cast`` and returns (rows that parsed, raw rows where a non-blank
+value did not parse) instead of failing.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ def silver(table: str, bronze: DataFrame, reject: bool = False):
             cols.append(_blank_null(c).alias(c))
         else:
             cols.append(F.col(c))
-    out = bronze.select(cols)
     if not reject:
-        return out
+        return bronze.select(cols)
     failed = reduce(lambda a, b: a | b, bad) if bad else F.lit(False)
-    return out, bronze.where(failed)
+    # rows with a value that did not parse go only to the reject table
+    return bronze.where(~failed).select(cols), bronze.where(failed)
 
 
 def silver_orders(bronze: DataFrame, reject: bool = False):
