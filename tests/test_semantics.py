@@ -262,3 +262,25 @@ def test_hot_person_holds_a_third_of_orders(spark):
     assert got == want
     tiers = {r.spend_quartile: r.customers for r in cust.spend_tiers(customers, orders, items, 4).collect()}
     assert sum(tiers.values()) == len(per) and max(tiers.values()) - min(tiers.values()) <= 1
+
+
+@pytest.mark.parametrize("key,col,n", [("seller_decile_share", "pct_of_total", 10),
+                                       ("spend_quartiles", "pct_of_revenue", 4),
+                                       ("repeat_buyers", "pct_of_customers", 2),
+                                       ("repeat_buyers", "pct_of_revenue", 2)])
+def test_shares_sum_to_100(spark, key, col, n):
+    from __spark_entry__ import queries
+    from conftest import SF_MID
+    vals = [r[col] for r in queries()[key](spark, SF_MID).collect()]
+    assert len(vals) <= n and abs(sum(vals) - 100) <= 0.005 * n + 1e-9
+
+
+def test_exposure_partitions_persons_with_a_delivery(spark):
+    from __spark_entry__ import queries
+    from conftest import SF_MID
+    q = queries()
+    persons = q["first_delivered_order"](spark, SF_MID).count()
+    e = q["delivery_return_rate"](spark, SF_MID).collect()
+    assert sum(r.customers for r in e) == persons
+    cells = q["state_cell_sizes"](spark, SF_MID).collect()
+    assert sum(r.first_orders for r in cells) == persons
