@@ -1,4 +1,4 @@
 from tidemark.functions.expressions import (  # noqa: F401
-    col, delay_days, delivery_bucket, half_open, late_flag, money, month_of, pct,
+    cents, col, delay_days, from_cents, delivery_bucket, half_open, late_flag, money, month_of, pct,
     ratio, region_of_state, revenue, round_half,
 )

@@ -70,6 +70,16 @@ def pct(num: str | Column, den: str | Column, digits: int = 2) -> Column:
     return round_half(ratio(num, den) * 100, digits)
 
 
+def cents(x: str | Column) -> Column:
+    """A 2-decimal money value as exact integer cents (bigint)."""
+    return (col(x) * 100).cast("bigint")
+
+
+def from_cents(x: str | Column) -> Column:
+    """Integer cents back to money, exactly (a multiplication, no division)."""
+    return (col(x).cast("decimal(20,0)") * F.lit(0.01).cast("decimal(2,2)")).cast("decimal(38,2)")
+
+
 def money(x: str | Column) -> Column:
     """Money result type: decimal(38,2)."""
     return col(x).cast("decimal(38,2)")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import money, pct, ratio, revenue, round_half
+from tidemark.functions import cents, from_cents, money, pct, ratio, revenue, round_half
 from tidemark.operators.primitives import ntile_desc, share_over_all
 
 PERSON = "customer_unique_id"
@@ -29,9 +29,16 @@ def person_orders(customers: DataFrame, orders: DataFrame, person: str = PERSON)
             .groupBy(person).agg(F.countDistinct("order_id").alias("order_count")))
 
 
-def order_revenue(items: DataFrame) -> DataFrame:
-    """order_id, item revenue of the order (orders without items absent)."""
-    return items.groupBy("order_id").agg(F.sum(revenue()).alias("_order_rev"))
+def order_revenue(items: DataFrame, alias: str = "_order_rev") -> DataFrame:
+    """order_id, item revenue of the order (orders without items absent).
+
+    The per-order sum runs on exact integer cents (a bigint hash-aggregate
+    buffer instead of a wide decimal one, about twice as fast) and is turned
+    back into decimal money once per order.  A single order's revenue is far
+    from the bigint range; totals over many orders are summed as decimals.
+    """
+    return (items.groupBy("order_id").agg(F.sum(cents(revenue())).alias("_cents"))
+            .select("order_id", from_cents("_cents").alias(alias)))
 
 
 def person_spend(customers: DataFrame, orders: DataFrame, items: DataFrame,

@@ -57,7 +57,8 @@ def revenue_fanned_out(orders: DataFrame, items: DataFrame, payments: DataFrame)
     first (item revenue sum, payment row count) and the product is summed —
     the same number, with shuffles sized by orders, not items × payments.
     """
-    item_rev = items.groupBy("order_id").agg(F.sum(revenue()).alias("_rev"))
+    from tidemark.operators.customers import order_revenue
+    item_rev = order_revenue(items, "_rev")
     pay_rows = payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("_pays"))
     return (orders.select("order_id")
             .join(item_rev, "order_id").join(pay_rows, "order_id")

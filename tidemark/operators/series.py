@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import half_open, money, month_of, ratio, revenue, round_half
+from tidemark.functions import half_open, money, month_of, ratio, round_half
+from tidemark.operators.customers import order_revenue
 
 MONTH = "month"
 
@@ -25,7 +26,7 @@ def monthly_revenue(orders: DataFrame, items: DataFrame,
     o = orders.select("order_id", ts)
     if window is not None:
         o = o.where(half_open(ts, *window))
-    per_order = items.groupBy("order_id").agg(F.sum(revenue()).alias("_rev"))
+    per_order = order_revenue(items, "_rev")
     return (o.join(per_order, "order_id")
             .groupBy(month_of(ts).alias(MONTH))
             .agg(F.countDistinct("order_id").alias("monthly_volume"),
