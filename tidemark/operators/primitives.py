@@ -6,18 +6,23 @@ row into one task.  That is harmless on a monthly series or ten deciles but
 not over sellers or persons, so entity-level rankings go through
 :func:`rank_desc`, which is exact and keeps the sort spread over many tasks:
 
-1. the input is checkpointed once (it feeds a count, a sample and the plan);
-2. a bounded random sample of the composite sort key
-   ``(value desc nulls last, key asc nulls last)`` is sorted by Spark and
-   B−1 boundaries are taken from it.  Because the key is part of the sort
-   key, one dominant value is split across buckets by key;
-3. every row gets its bucket with a binary search over the boundary literals;
-4. ``row_number`` / running sum run per bucket
-   (``Window.partitionBy(bucket)``), and a B-row table of bucket counts and
-   sums turns them into global ranks with exclusive prefix sums; that table
-   is broadcast (its size is bounded by ``max_buckets``).
-
-The boundaries only affect balance, never the result.
+1. the input is written once as a table in the shared checkpoint folder (it
+   feeds a count, a range sample and the plan);
+2. ``repartitionByRange(B, value desc nulls last, key asc nulls last)`` —
+   Spark's range partitioner samples the composite sort key and routes each
+   row by binary search in the JVM, so bucket ``spark_partition_id()`` holds
+   a contiguous slice of the global order.  The key is part of the sort key,
+   so one dominant value is split across buckets by key;
+3. that bucketed table is written once more, so the bucket of every row is
+   fixed for everything that follows (a new range sample in a later job
+   could draw different bounds);
+4. ``row_number`` / running sum run per bucket (``Window.partitionBy``) —
+   or, when only ranks are needed, the position inside the sorted range
+   partition — and a ≤B-row table of bucket counts and sums turns them into
+   global ranks with exclusive prefix sums; that table is broadcast
+   (B ≤ ``max_buckets``).
+
+The bucket bounds only affect balance, never the result.
 """
 
 from __future__ import annotations
@@ -34,8 +39,7 @@ RUNNING = "_running"
 BUCKET = "_bucket"
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-DEFAULT_MAX_BUCKETS = 1024
-OVERSAMPLE = 64
+DEFAULT_MAX_BUCKETS = 4096
 
 
 def first_event(df: DataFrame, key: str | list[str], order_by: list[Column],
@@ -54,30 +58,6 @@ def first_event(df: DataFrame, key: str | list[str], order_by: list[Column],
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def _sort_key(value: str, key: str) -> Column:
-    """Struct whose ascending order is (value desc nulls last, key asc nulls last)."""
-    v, k = F.col(value), F.col(key)
-    return F.struct(
-        v.isNull().cast("int").alias("f0"),
-        (-v).alias("f1"),
-        k.isNull().cast("int").alias("f2"),
-        k.alias("f3"),
-    )
-
-
-def _lit_key(row, types) -> Column:
-    return F.struct(*[F.lit(row[i]).cast(types[i]).alias(f"f{i}") for i in range(4)])
-
-
-def _bucket_of(sk: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Index of the bucket holding ``sk``: number of boundaries <= sk."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(sk >= bounds[mid - 1], _bucket_of(sk, bounds, mid, hi)) \
-            .otherwise(_bucket_of(sk, bounds, lo, mid - 1))
-
-
 ROWS_PER_BUCKET_CONF = "tidemark.rank.rows_per_bucket"
 
 
@@ -91,13 +71,20 @@ def _session_int(df: DataFrame, conf: str, default: int) -> int:
 def rank_desc(df: DataFrame, value: str, key: str, *,
               rows_per_bucket: int | None = None,
               max_buckets: int = DEFAULT_MAX_BUCKETS,
-              seed: int = 17, checkpoint: bool = True) -> tuple[DataFrame, int]:
+              checkpoint: bool = True, running: bool = True) -> tuple[DataFrame, int]:
     """Exact global rank and running sum by ``value`` desc, ``key`` asc.
 
-    ``key`` must be unique in ``df``.  Adds ``_rank`` (1..N, bigint) and
-    ``_running`` (running sum of ``value`` in rank order) and the grand total
-    ``_total``.  Returns the frame and N.  ``rows_per_bucket`` defaults to the
-    session setting ``tidemark.rank.rows_per_bucket`` (else 2,000,000).
+    ``key`` must be unique in ``df``.  Adds ``_rank`` (1..N, bigint) and,
+    with ``running``, ``_running`` (running sum of ``value`` in rank order)
+    and the grand total ``_total``.  Returns the frame and N.
+    ``rows_per_bucket`` defaults to the session setting
+    ``tidemark.rank.rows_per_bucket`` (else 2,000,000).
+
+    Without ``running`` (n-tiles need ranks only) the in-bucket position is
+    taken right after the range shuffle: each range partition is sorted and
+    ``monotonically_increasing_id()`` (partition id in the high bits, row
+    position in the low 33) gives the row's place, so no window and no
+    second shuffle are needed.
     """
     if rows_per_bucket is None:
         rows_per_bucket = _session_int(df, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
@@ -116,20 +103,21 @@ def rank_desc(df: DataFrame, value: str, key: str, *,
                .withColumn("_total", F.sum(value).over(Window.partitionBy())))
         return out, n
 
-    sk = _sort_key(value, key)
-    fraction = min(1.0, OVERSAMPLE * n_buckets / n * 1.2)
-    cap = OVERSAMPLE * n_buckets * 2
-    sample = (base.select(sk.alias("sk")).sample(False, fraction, seed)
-              .limit(cap).orderBy("sk").collect())
-    picks = [sample[(i * len(sample)) // n_buckets] for i in range(1, n_buckets)] if sample else []
-    types = [f.dataType.simpleString() for f in base.select(sk.alias("sk")).schema["sk"].dataType.fields]
-    uniq = []
-    for r in picks:
-        t = tuple(r["sk"])
-        if not uniq or uniq[-1] != t:
-            uniq.append(t)
-    bounds = [_lit_key(t, types) for t in uniq]
-    bucketed = base.withColumn(BUCKET, _bucket_of(sk, bounds, 0, len(bounds)) if bounds else F.lit(0))
+    ranged = base.repartitionByRange(n_buckets, *order)
+    if not running:
+        pid = F.spark_partition_id()
+        bucketed = materialize(ranged.sortWithinPartitions(*order).select(
+            "*", pid.alias(BUCKET),
+            (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + 1).alias("_local_rank")))
+        stats = bucketed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
+        stats = stats.select(BUCKET, F.coalesce(F.sum("_cnt").over(
+            Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_rank_offset"))
+        out = (bucketed.join(F.broadcast(stats), BUCKET)
+               .withColumn(RANK, (F.col("_rank_offset") + F.col("_local_rank")).cast("bigint"))
+               .drop("_local_rank", "_rank_offset", BUCKET))
+        return out, n
+
+    bucketed = materialize(ranged.withColumn(BUCKET, F.spark_partition_id()))
 
     w = Window.partitionBy(BUCKET).orderBy(*order)
     local = (bucketed
@@ -170,10 +158,11 @@ def ntile_of_rank(rank: str | Column, n: int, k: int) -> Column:
 def ntile_desc(df: DataFrame, value: str, key: str, k: int, alias: str = "tile",
                **kw) -> DataFrame:
     """Exact distributed ``NTILE(k) OVER (ORDER BY value DESC, key)``."""
-    ranked, n = rank_desc(df, value, key, **kw)
+    ranked, n = rank_desc(df, value, key, running=False, **kw)
     if n == 0:
         return df.withColumn(alias, F.lit(None).cast("bigint"))
-    return ranked.withColumn(alias, ntile_of_rank(RANK, n, k)).drop(RANK, RUNNING, "_total")
+    drop = [c for c in (RANK, RUNNING, "_total") if c in ranked.columns]
+    return ranked.withColumn(alias, ntile_of_rank(RANK, n, k)).drop(*drop)
 
 
 def share_over_all(x: str | Column) -> Column:

@@ -10,6 +10,7 @@ survive the loss of the executor that wrote it.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,12 +67,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Cut lineage by writing ``df`` as a Parquet table in the shared
+    checkpoint folder and reading it back.
 
-    Used where one intermediate feeds several actions (count, boundary
-    sample, final plan) so the upstream shuffle is not recomputed; the files
-    outlive any single executor.  Never a local checkpoint.
+    Used where one intermediate feeds several jobs (a count, a range sample,
+    the final plan) so the upstream joins and shuffles run once.  The files
+    live in the folder the cluster names in ``spark.checkpoint.dir``, so they
+    outlive any executor; Parquet gives columnar reads and a count from
+    footers.  Never a local checkpoint.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    root = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tidemark-table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
