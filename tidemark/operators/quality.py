@@ -97,19 +97,27 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def staged_counts(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """Persons and orders surviving each join stage, and the gap between them.
 
-    One pass: customers ⋈ orders is flagged with whether the order has items
-    (a join to the distinct item order ids, so item rows are never
-    multiplied in), and a single aggregate takes all four distinct counts;
-    the three result rows are generated from that one row.
+    One flagged join: customers ⋈ orders, each row marked with whether its
+    order has items (a join to the distinct item order ids, so item rows are
+    never multiplied in).  Then one aggregate per order and one per person
+    (each a single shuffle on its key, rather than a four-way distinct
+    ``Expand``), stacked as two rows and folded into one, from which the
+    three result rows are generated — no join between the two.
     """
-    with_items = items.select("order_id").distinct().withColumn("_has", F.lit(True))
+    with_items = items.select("order_id").distinct().withColumn("_has", F.lit(1))
     reach = (customers.select("customer_id", PERSON)
              .join(orders.select("order_id", "customer_id"), "customer_id")
-             .join(with_items, "order_id", "left"))
-    has = F.col("_has").isNotNull()
-    c = reach.agg(F.countDistinct(PERSON).alias("p_all"), F.countDistinct("order_id").alias("o_all"),
-                  F.countDistinct(F.when(has, F.col(PERSON))).alias("p_it"),
-                  F.countDistinct(F.when(has, F.col("order_id"))).alias("o_it"))
+             .join(with_items, "order_id", "left")
+             .withColumn("_has", F.coalesce("_has", F.lit(0))))
+    null = F.lit(None).cast("bigint")
+    per_order = (reach.groupBy("order_id").agg(F.max("_has").alias("_h"))
+                 .agg(F.count(F.lit(1)).alias("o_all"), F.sum("_h").cast("bigint").alias("o_it"))
+                 .select(null.alias("p_all"), null.alias("p_it"), "o_all", "o_it"))
+    per_person = (reach.groupBy(PERSON).agg(F.max("_has").alias("_h"))
+                  .agg(F.count(F.lit(1)).alias("p_all"), F.sum("_h").cast("bigint").alias("p_it"))
+                  .select("p_all", "p_it", null.alias("o_all"), null.alias("o_it")))
+    c = per_person.unionByName(per_order).agg(*[F.max(x).alias(x) for x in ("p_all", "p_it", "o_all", "o_it")])
+    c = c.select(*[F.coalesce(x, F.lit(0)).alias(x) for x in ("p_all", "p_it", "o_all", "o_it")])
     rows = F.array(
         F.struct(F.lit("reachable").alias("stage"), F.col("p_all").alias("persons"), F.col("o_all").alias("orders")),
         F.struct(F.lit("with_items").alias("stage"), F.col("p_it").alias("persons"), F.col("o_it").alias("orders")),
