@@ -284,3 +284,15 @@ def test_exposure_partitions_persons_with_a_delivery(spark):
     assert sum(r.customers for r in e) == persons
     cells = q["state_cell_sizes"](spark, SF_MID).collect()
     assert sum(r.first_orders for r in cells) == persons
+
+
+def test_delay_distribution_approx_option(spark):
+    from conftest import SF_MID
+    from tidemark.plans.catalog import bound_tables
+    t = bound_tables(spark, SF_MID)
+    exact = dlv.delay_distribution(t.orders).first()
+    approx = dlv.delay_distribution(t.orders, exact=False).first()
+    assert (approx.min_delay, approx.max_delay, approx.avg_delay) == (exact.min_delay, exact.max_delay, exact.avg_delay)
+    # whole-day delays: the approximate quantiles are actual values within a day of the interpolated ones
+    for q in ("p25", "median", "p75", "p90"):
+        assert abs(approx[q] - exact[q]) <= 1.0
