@@ -123,3 +123,11 @@ def test_streaming_rejects_go_to_their_own_sink(spark, scratch):
         q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 3
     assert [r.order_id for r in spark.read.parquet(rej).collect()] == ["o4"]
+
+
+def test_read_all_with_custom_file_names(spark, scratch):
+    from tidemark.sources.bronze import read_bronze_all
+    _write(scratch, "export_orders_2018.csv", ORDERS_CSV)
+    _write(scratch, "export_customers.csv", CUSTOMERS_CSV)
+    t = read_bronze_all(spark, scratch, {"orders": "export_orders_2018.csv", "customers": "export_customers.csv"})
+    assert set(t) == {"orders", "customers"} and t["orders"].count() == 3 and t["customers"].count() == 1
