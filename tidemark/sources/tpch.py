@@ -119,6 +119,8 @@ def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def payments():
         o = r("orders")
+        # a derivation, not a subset: every order keeps its first payment row,
+        # and every third order gets a second one (the multi-payment fan-out)
         first_pay = o.select(F.col("o_orderkey").alias("order_id"), F.lit(1).alias("payment_sequential"))
         second_pay = (o.where(F.col("o_orderkey") % 3 == 0)
                       .select(F.col("o_orderkey").alias("order_id"), F.lit(2).alias("payment_sequential")))
