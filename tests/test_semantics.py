@@ -66,6 +66,8 @@ def test_fanout_vs_grain(fx):
     assert right.first().revenue_right == D("46.20")
     infl = qa.revenue_inflation(wrong, right).first()
     assert infl.inflation_pct == pytest.approx(71.43)
+    one = qa.revenue_inflation_one_pass(fx["orders"], fx["items"], fx["payments"]).first()
+    assert (one.revenue_wrong, one.revenue_right, one.inflation_pct) == (D("79.20"), D("46.20"), 71.43)
 
 
 def test_orphans_and_staged_counts(fx):
