@@ -80,3 +80,25 @@ def test_ranking_queries_multi_bucket(spark, duck, key):
     res = duck.execute(oracle_sql()[key])
     dcols = [d[0] for d in res.description]
     assert _canon(df.columns, rows) == _canon(dcols, res.fetchall())
+
+
+@pytest.fixture(scope="module")
+def duck_mid():
+    from conftest import SF_MID
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_MID}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("key", _keys())
+def test_query_matches_oracle_sf001(spark, duck_mid, key):
+    """The driver's correctness gate runs at sf0.01: same check there."""
+    from __spark_entry__ import oracle_sql, queries
+    from conftest import SF_MID
+    df = queries()[key](spark, SF_MID)
+    rows = [tuple(r) for r in df.collect()]
+    res = duck_mid.execute(oracle_sql()[key])
+    dcols = [d[0] for d in res.description]
+    assert {c: t for c, t in df.dtypes}.keys() == set(dcols)
+    assert _canon(df.columns, rows) == _canon(dcols, res.fetchall())
