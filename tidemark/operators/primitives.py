@@ -40,6 +40,7 @@ BUCKET = "_bucket"
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 DEFAULT_MAX_BUCKETS = 4096
+ROWS_PER_BUCKET_CONF = "tidemark.rank.rows_per_bucket"  # session setting overriding the default
 
 
 def first_event(df: DataFrame, key: str | list[str], order_by: list[Column],
@@ -58,9 +59,6 @@ def first_event(df: DataFrame, key: str | list[str], order_by: list[Column],
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-ROWS_PER_BUCKET_CONF = "tidemark.rank.rows_per_bucket"
-
-
 def _session_int(df: DataFrame, conf: str, default: int) -> int:
     try:
         return int(df.sparkSession.conf.get(conf, str(default)))
