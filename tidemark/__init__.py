@@ -5,6 +5,6 @@ column names of :mod:`tidemark.schema`) to a DataFrame.  Operators only
 declare logical plans; Catalyst chooses the physical strategy.
 """
 
-from tidemark.session import get_session, checkpoint_dir, materialize  # noqa: F401
+from tidemark.session import get_session, materialize, release, shared_dir  # noqa: F401
 
-__all__ = ["get_session", "checkpoint_dir", "materialize"]
+__all__ = ["get_session", "materialize", "release", "shared_dir"]

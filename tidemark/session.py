@@ -1,17 +1,21 @@
 """Session construction and lineage cutting.
 
-The checkpoint folder is always read from the session
-(``spark.checkpoint.dir``).  A folder of our own is created only when the
-setting is absent *and* the master is local (tests, laptops); on a cluster
-an absent setting is an error, because a machine-local folder would not
-survive the loss of the executor that wrote it.
+The shared folder is always read from the session (``spark.checkpoint.dir``).
+A folder of our own is set only when the setting is absent *and* the master
+is local (tests, laptops); on a cluster an absent setting is an error, because
+a machine-local folder would not survive the loss of the executor that wrote
+it.  Tables written there on the way belong to the application: they are
+removed by :func:`release`, at the latest when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
@@ -40,44 +44,64 @@ def get_session(master: str | None = None, app_name: str = "tidemark",
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    checkpoint_dir(spark)
+    shared_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
-
-    Sets the SparkContext checkpoint dir from ``spark.checkpoint.dir``.  Only
-    when that is unset and the master is local do we make a scratch folder.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as configured:
+    the same path in every session that has the same setting."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; a cluster run needs a shared "
-                "checkpoint folder (it is never defaulted to a local temp dir)")
-        configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+                "folder (it is never defaulted to a local temp dir)")
+        app = spark.sparkContext.applicationId
+        if app not in _UNSET:
+            _UNSET[app] = tempfile.mkdtemp(prefix="tidemark-shared-")
+            atexit.register(shutil.rmtree, _UNSET[app], ignore_errors=True)
+        configured = _UNSET[app]
+    return configured.rstrip("/")
+
+
+def application_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, for tables written
+    on the way; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(release, spark, path)
+    return path
+
+
+_OWN: set[str] = set()
+_UNSET: dict[str, str] = {}  # local runs without the setting, by application
+
+
+def release(spark: SparkSession, path: str | None = None) -> None:
+    """Remove the tables that this application wrote on the way.  Frames that
+    still read them can't be used afterwards."""
+    path = path or f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        return
+    _OWN.discard(path)
+    jvm = spark.sparkContext._jvm
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except (OSError, Py4JError):  # the JVM has gone before the driver's Python
+        pass
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing ``df`` as a Parquet table in the shared
-    checkpoint folder and reading it back.
-
-    Used where one intermediate feeds several jobs (a count, a range sample,
-    the final plan) so the upstream joins and shuffles run once.  The files
-    live in the folder the cluster names in ``spark.checkpoint.dir``, so they
-    outlive any executor; Parquet gives columnar reads and a count from
-    footers.  Never a local checkpoint.
+    """Cut lineage by writing ``df`` as a Parquet table in the application's
+    part of the shared folder and reading it back.
+
+    Used where one intermediate feeds several jobs, so that the upstream joins
+    and shuffles run once.  The files outlive any executor; Parquet gives
+    columnar reads and a count from footers.  Never a local checkpoint.
     """
-    root = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/tidemark-table-{uuid.uuid4().hex}"
+    path = f"{application_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
+    return df.sparkSession.read.schema(df.schema).parquet(path)

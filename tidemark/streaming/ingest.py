@@ -11,11 +11,13 @@ so a restarted or failed run picks up exactly the files it has not written.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import bronze_schema
-from tidemark.session import checkpoint_dir
+from tidemark.session import shared_dir
 from tidemark.sources.silver import silver
 
 _MULTILINE = {"order_reviews"}
@@ -43,7 +45,8 @@ def stream_to_silver(spark: SparkSession, landing_dir: str, table: str, silver_d
     ``reject_dir`` malformed rows go to their own sink instead of failing
     the stream.
     """
-    base = checkpoint or f"{checkpoint_dir(spark)}/stream-silver-{table}"
+    sink = hashlib.sha256(silver_dir.rstrip("/").encode()).hexdigest()[:16]
+    base = checkpoint or f"{shared_dir(spark)}/stream-silver-{table}-{sink}"
     raw = read_bronze_stream(spark, landing_dir, table)
     if reject_dir:
         typed, rejects = silver(table, raw, reject=True)
