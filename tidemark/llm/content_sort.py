@@ -1,10 +1,12 @@
 """Exact duplicate removal by content sort.
 
 Normalised whole texts (A-Z lower-cased, NULL as empty) are range-partitioned
-by sampled splitters and sorted, so equal texts lie next to each other.  The
-sort key goes on with the identifier (descending), so splitters also fall
-inside a group of copies: a text that a third of all rows share spreads over
-many tasks.  Each task walks its sorted rows once, compares each text in full
+by sampled splitters and sorted, so equal texts lie next to each other.
+Splitters hold the first bytes and the text's SHA-256 in place of the rest, so
+the sample that the driver sees stays small whatever the texts' lengths.  The
+key goes on with the identifier (descending), so splitters also fall inside a
+group of copies: a text that a third of all rows share spreads over many
+tasks.  Each task walks its sorted rows once, compares each text in full
 with the one before and writes down, without the text, the run a row belongs
 to.  Runs cut by a partition's edge (two a partition at most) are joined by
 the SHA-256 of their whole text.
@@ -16,7 +18,6 @@ stays; an empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,29 +27,29 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import clear_name, lower_ascii, numbered, whole_text
 from tidemark.session import materialize
 
+SPLITTER_BYTES = 32
 _RUNS = ("row long, doc_id long, part int, run long, first boolean, head_id long, sha string")
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one sorted partition -> their runs.  ``head_id`` is the
     identifier of the run's first row, the largest."""
-    previous = sha = head = None
+    previous = head = None
     run = -1
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
-        runs, firsts, heads, shas = [], [], [], []
+        runs, firsts, heads = [], [], []
         for text, doc_id in zip(batch.column("text"), ids):
             data = text.as_buffer()
             new = previous is None or not data.equals(previous)
             if new:
-                run, head, sha, previous = run + 1, doc_id, hashlib.sha256(data).hexdigest(), data
+                run, head, previous = run + 1, doc_id, data
             runs.append(run)
             firsts.append(new)
             heads.append(head)
-            shas.append(sha)
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id"), batch.column("part"), pa.array(runs, pa.int64()), pa.array(firsts, pa.bool_()),
-             pa.array(heads, pa.int64()), pa.array(shas, pa.string())],
+             pa.array(heads, pa.int64()), batch.column("sha")],
             schema=_SCHEMA)
 
 
@@ -65,9 +66,11 @@ def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str
         (F.col(row) if row else F.monotonically_increasing_id()).cast("long").alias("row"),
         F.col(doc_id).cast("long").alias("doc_id"), lower_ascii(whole_text(text)).cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("text"), F.col("doc_id").desc_nulls_last()]
-    ranged = (norm.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-              .sortWithinPartitions(*order))
+    norm = norm.select("*", F.sha2("text", 256).alias("sha"), F.substring("text", 1, SPLITTER_BYTES).alias("head"))
+    largest_first = F.col("doc_id").desc_nulls_last()
+    ranged = (norm.repartitionByRange(parts, "head", "sha", largest_first)
+              .withColumn("part", F.spark_partition_id())
+              .sortWithinPartitions("head", "sha", "text", largest_first).drop("head"))
     runs = materialize(ranged.mapInArrow(_walk, _RUNS))
 
     # a run's length, its largest identifier and its first row's number
