@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import clear_name, numbered
 from tidemark.llm.tokens import blocks
 from tidemark.session import materialize
 
@@ -128,7 +129,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
+_SIGNED = "row long, doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
 _PER_TURN = 100_000  # shingles whose permutations are held at a time
 
 
@@ -144,11 +145,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig[own] = superminhash([sets[k] for k in own])
             bands = _bands(sig)
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                b.column("row"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in held], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                 pa.array([s.tobytes() for s in _mix(sig).astype(np.uint8)], pa.binary())],
-                ["doc_id", "n_shingles", "digest", "bands", "sig"])
+                ["row", "doc_id", "n_shingles", "digest", "bands", "sig"])
 
 
 def least_agreement(threshold: int = THRESHOLD, places: int = PLACES) -> int:
@@ -241,11 +242,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.mapInPandas(_linked, "a long, b long")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per document."""
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """``row`` (the given column, else a number), ``doc_id``, ``n_shingles``,
+    ``component_id``, ``kept``, one row per document."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+                         (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
     signed = materialize(narrow.mapInArrow(_sign, _SIGNED))
+    narrow = narrow.drop("row")
     classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
                           .agg(F.min("doc_id").alias("rep")))
     reps = (signed.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
@@ -297,6 +301,18 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     # a document's component: its class's, by its smallest document
     by_class = materialize(classes.join(found, F.col("rep") == F.col("doc_id"), "left").select(
         "digest", F.coalesce("component_id", "rep").alias("class_id")))
-    out = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id")).withColumn(
+    out = signed.select("row", "doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    return out.select("row", "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group, all columns kept.  Rows without
+    identifier that no identifier's words equal all stay."""
+    row = clear_name("_row", docs.columns)
+    whole = numbered(docs, row)
+    kept = near_groups(whole, text, doc_id, row).where("kept")
+    # rows may share an identifier: the first stays
+    first = kept.where("component_id is not null").groupBy("component_id").agg(F.min("row").alias(row)).select(row)
+    keep = first.unionByName(kept.where("component_id is null").select(F.col("row").alias(row)))
+    return whole.join(keep, row, "left_semi").select(docs.columns)
