@@ -53,7 +53,8 @@ BANDS = PLACES // BAND
 CENTRES = 3
 SIDE = 512  # members of one block in step 5
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)  # splitmix64
-_WORDS = 2_000_000
+_WORDS = 250_000  # word hashes that a worker keeps
+_BLOCK_BYTES = 2 << 20  # of text that a worker takes apart at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ _PER_TURN = 100_000  # shingles whose permutations are held at a time
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in blocks(batch, "text"):
+        for b in blocks(batch, "text", _BLOCK_BYTES):
             held = [words(t) for t in b.column("text").to_pylist()]
             sets = [shingles(w) for w in held]
             sig = np.zeros((len(sets), PLACES), np.uint64)
@@ -168,7 +169,7 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pairs.loc[may, ["a", "b"]]
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact: 100 |A and B| >= THRESHOLD |A or B| on full sets of shingles."""
     def full(text: bytes) -> set[tuple[bytes, ...]]:
         w = words(text)
@@ -178,13 +179,13 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[int, set] = {}  # a centre's set serves many pairs
     for pairs in batches:
         out = []
-        for a, b, text_a, text_b in pairs[["a", "b", "text_a", "text_b"]].itertuples(index=False):
+        for b, text_a, text_b in zip(pairs.column("b").to_pylist(), pairs.column("text_a"), pairs.column("text_b")):
             if b not in held:
-                held = {b: full(text_b)}
-            x, y = full(text_a), held[b]
+                held = {b: full(text_b.as_py())}
+            x, y = full(text_a.as_py()), held[b]
             common = len(x & y)
             out.append(100 * common >= THRESHOLD * (len(x) + len(y) - common))
-        yield pairs.loc[np.array(out, bool), ["a", "b"]]
+        yield pairs.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
 
 def _blocks_agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +240,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     centre = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     whole = pairs.join(side, "a").join(centre, "b")
-    return whole.mapInPandas(_linked, "a long, b long")
+    return whole.mapInArrow(_linked, "a long, b long")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 BLOCK_BYTES = 8 << 20
 _LETTERS = "a-zà-öø-įı-ɏÀ-ÖØ-ÞĀ"
 _BORDER = f"([{_LETTERS}])([!-&(-/:;=?@\\[-`{{}}~])"
@@ -46,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
         self.alphabet = _byte_alphabet()
 
     def _word(self, word: str) -> list[int]:
@@ -64,11 +64,9 @@ class Encoder:
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = self._word(w)
+                ids = known[w] = np.array(self._word(w), "<u4").tobytes()
             out.append(ids)
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((i for ids in out for i in ids), np.uint32, int(counts.sum()))
-        return flat, counts
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)``: document ``k`` has ``ids[offsets[k]:offsets[k+1]]``."""
@@ -104,10 +102,10 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``BLOCK_BYTES`` of text, one row at least."""
+def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    block = np.cumsum(sizes.astype(np.int64)) // BLOCK_BYTES
+    block = np.cumsum(sizes.astype(np.int64)) // most
     edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         if b > a:
