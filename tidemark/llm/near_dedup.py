@@ -12,14 +12,17 @@ intersection >= ``THRESHOLD`` % of union.  A group is a connected component.
 3. In each band bucket every member is paired with the bucket's centres
    (``CENTRES``, smallest under differing orders): pairs grow with the bucket, not
    its square.  Pairs whose signatures agree in too few places for the
-   threshold (by six standard deviations) are dropped, the others are verified
+   threshold (by five standard deviations) are dropped, the others are verified
    on the full shingle sets.
 4. Union-find over verified links by alternating large-star and small-star
    steps.
 5. Members of a bucket that are in different components by then may still be
-   linked; those, and only those, are compared with each other in blocks of
-   signatures, and what agrees is verified too.  So no link between texts that
-   share a bucket is lost, whatever the centres were.
+   linked.  Buckets that hold several components are cut into blocks of
+   ``SIDE`` members; a task compares two blocks, signatures first and full
+   shingle sets where these agree, each pair in the first bucket it shares,
+   and passes on only links that join components.  So no link between texts
+   that share a bucket is lost, whatever the centres were, and no pairs are
+   written out.
 
 A link of similarity 0.85 misses all buckets with probability below 1e-6.
 
@@ -34,12 +37,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clear_name, numbered
@@ -51,7 +55,7 @@ THRESHOLD = 85
 PLACES, BAND = 120, 5
 BANDS = PLACES // BAND
 CENTRES = 3
-SIDE = 512  # members of one block in step 5
+SIDE = 128  # members of one block in step 5
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)  # splitmix64
 _WORDS = 250_000  # word hashes that a worker keeps
 _BLOCK_BYTES = 2 << 20  # of text that a worker takes apart at a time
@@ -154,9 +158,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def least_agreement(threshold: int = THRESHOLD, places: int = PLACES) -> int:
-    """Places that two linked documents share but for six standard deviations."""
+    """Places that two linked documents share but for five standard deviations."""
     t = threshold / 100
-    return max(1, int(places * (t - 6 * (t * (1 - t) / places) ** 0.5)))
+    return max(1, int(places * (t - 5 * (t * (1 - t) / places) ** 0.5)))
 
 
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,17 +192,52 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
 
-def _blocks_agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two blocks of one bucket -> pairs in different components that agree."""
+_MEMBER = ("rep", "component", "n_shingles", "sig", "bands", "held")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in blocks(batch, "text", _BLOCK_BYTES):
+            held = [shingles(words(t)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held, pa.binary())], ["rep", "held"])
+
+
+def _side(members: pa.ListScalar) -> dict[str, np.ndarray | list]:
+    m = members.values
+    out = {k: m.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("rep", "component", "n_shingles")}
+    out["sig"] = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
+    out["bands"] = m.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+    out["held"] = [np.frombuffer(x, np.uint64) for x in m.field("held").to_pylist()]
+    return out
+
+
+def _blocks_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two blocks of one bucket -> links between different components, one
+    for each two components that meet here."""
     least = least_agreement()
-    for rows in batches:
-        for r in rows.itertuples(index=False):
-            x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, PLACES) for s in (r.sigs_a, r.sigs_b))
-            ids_a, ids_b, c_a, c_b = (np.asarray(v, np.int64) for v in (r.ids_a, r.ids_b, r.comps_a, r.comps_b))
-            for k in range(len(x)):
-                hit = np.flatnonzero(((y == x[k]).sum(axis=1) >= least) & (c_b != c_a[k]))
-                if len(hit):
-                    yield pd.DataFrame({"a": np.maximum(ids_a[k], ids_b[hit]), "b": np.minimum(ids_a[k], ids_b[hit])})
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        for r in range(batch.num_rows):
+            x, y = (_side(batch.column(c)[r]) for c in ("m_a", "m_b"))
+            band = batch.column("band")[r].as_py()
+            comp = {c: c for c in (*x["component"].tolist(), *y["component"].tolist())}
+            for k in range(len(x["rep"])):
+                n, m = x["n_shingles"][k], y["n_shingles"]
+                same = y["bands"] == x["bands"][k]
+                first = x["bands"][k][same.argmax(axis=1)] == band  # pairs are judged in the first bucket they share
+                hits = np.flatnonzero(first & (y["component"] != x["component"][k])
+                                      & (100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m))
+                                      & ((y["sig"] == x["sig"][k]).sum(axis=1) >= least))
+                for h in hits:
+                    one, other = comp[int(x["component"][k])], comp[int(y["component"][h])]
+                    if one == other:
+                        continue
+                    common = len(np.intersect1d(x["held"][k], y["held"][h], assume_unique=True))
+                    if 100 * common >= THRESHOLD * (int(n) + int(m[h]) - common):
+                        links.append((int(x["rep"][k]), int(y["rep"][h])))
+                        comp = {c: one if now == other else now for c, now in comp.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in links], pa.int64()),
+                                          pa.array([min(p) for p in links], pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,7 +251,6 @@ def components(links: DataFrame) -> DataFrame:
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))) if large else edges
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        least = materialize(least)
         joined = both.join(least, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -222,18 +260,29 @@ def components(links: DataFrame) -> DataFrame:
         return materialize(out.where("a <> b").distinct())
 
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    check = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-    before = None
     while True:
-        now = edges.agg(check).first()[0]
-        if now == before or now[0] == 0:
+        n = edges.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        chained = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+        if n[0] == n[1] and not chained.take(1):  # every link points to a smallest document
             break
-        before, edges = now, star(star(edges, True), False)
+        edges = star(star(edges, True), False)
     least = edges.groupBy("a").agg(F.min("b").alias("component_id"))
     return least.select(F.col("a").alias("doc_id"), "component_id").union(
         edges.select("b", "b").distinct())
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 8):
+    """For jobs whose rows are whole blocks: few of them in Python at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that are linked; each text travels to its pairs."""
     pairs = materialize(pairs)
@@ -281,22 +330,16 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     mixed = located.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
                                         F.max("component").alias("hi")).where("lo < hi").select("band", "n")
     mixed = materialize(mixed)
-    open_ = (located.join(mixed, "band")
-             .withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SIDE)))
-             .join(signatures("rep").withColumnRenamed("sig_rep", "sig"), "rep"))
-    open_ = materialize(open_.groupBy("band", "blk").agg(
-        F.collect_list(F.struct("rep", "component", "sig")).alias("m")))
-
-    def block(side: str) -> list:
-        return [F.col("m.rep").alias(f"ids_{side}"), F.col("m.component").alias(f"comps_{side}"),
-                F.col("m.sig").alias(f"sigs_{side}")]
-
-    left = open_.select("band", F.col("blk").alias("blk_a"), *block("a"))
-    right = open_.select("band", F.col("blk").alias("blk_b"), *block("b"))
-    tested = links.select("a", "b")
-    rest = (left.join(right, "band").where("blk_a <= blk_b").mapInPandas(_blocks_agree, "a long, b long").distinct()
-            .join(tested, ["a", "b"], "left_anti"))
-    more = materialize(_verified(rest, texts))
+    members = located.join(mixed, "band").withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SIDE)))
+    held = (texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            .mapInArrow(_sets, "rep long, held binary"))
+    whole = members.join(reps.join(held, "rep"), "rep")
+    open_ = materialize(whole.groupBy("band", "blk").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")))
+    meet = (open_.select("band", F.col("blk").alias("blk_a"), F.col("m").alias("m_a"))
+            .join(open_.select("band", F.col("blk").alias("blk_b"), F.col("m").alias("m_b")), "band")
+            .where("blk_a <= blk_b").select("band", "m_a", "m_b"))
+    with _small_batches(docs.sparkSession):
+        more = materialize(meet.mapInArrow(_blocks_link, "a long, b long"))
     found = materialize(components(links.unionByName(more))) if more.take(1) else found
 
     # a document's component: its class's, by its smallest document
