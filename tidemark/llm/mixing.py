@@ -15,8 +15,9 @@ strips of about sqrt(documents) rows (``STRIP`` at least), of which all before
 the one that holds the missing share's edge are taken whole, and only that
 strip's rows are sorted.
 Inside it, documents that would exceed the target are passed over in favour of
-smaller ones further on (``PASSES`` times), so the taken words come as near
-the target as a few small documents can bring them.
+smaller ones further on (``PASSES`` times), and the smallest that is left is
+taken at the end if that comes nearer, so the taken words come as near the
+target as a few small documents can bring them.
 
 Defined results: NULL text has no words and is never sampled; a NULL source is
 a source of its own, after all others; a source without words has target 0;
@@ -123,6 +124,10 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         near = near.withColumn("picked", F.when(open_ & (need <= F.col("left")), 1).otherwise(F.col("picked")))
         used = F.sum(F.when(F.col("picked") == 1, F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
         near = near.withColumn("left", F.col("missing") - F.col("before") - used)
+    # one more document, the smallest, if that comes nearer than none
+    smallest = F.row_number().over(Window.partitionBy("source").orderBy("picked", "size", "q", "doc_id")) == 1
+    nearer = smallest & (F.col("picked") == 0) & (2 * F.col("left") > F.col("size"))
+    near = near.withColumn("picked", F.when(nearer, 1).otherwise(F.col("picked")))
     out = rest.unionByName(near.drop("left"))
     copies = F.col("certain") + F.col("picked")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),

@@ -138,8 +138,11 @@ ORACLES: dict[str, str] = {
             SELECT s.*, edge, before FROM s LEFT JOIN edges ON s.source IS NOT DISTINCT FROM edges.source),
         p0 AS (SELECT *, false AS picked, missing - before AS room FROM z WHERE size > 0 AND strip = edge),
         {"".join(_PASS.format(k=k, j=k - 1) for k in (1, 2, 3, 4))}
+        p5 AS (
+            SELECT * REPLACE (picked OR (2 * room > size AND NOT picked AND row_number() OVER (
+                PARTITION BY source ORDER BY picked, size, q, doc_id) = 1) AS picked) FROM p4),
         picks AS (
-            SELECT doc_id, size, source_size, target, certain, picked FROM p4
+            SELECT doc_id, size, source_size, target, certain, picked FROM p5
             UNION ALL
             SELECT doc_id, size, source_size, target, certain,
                    size > 0 AND missing > 0 AND coalesce(strip < edge, true) FROM z
