@@ -1,39 +1,63 @@
 """From raw documents to packed training sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  The tables
+that a stage writes on the way are removed when a later stage begins, so the
+disk holds those of one stage at a time; a stage's result must have been
+written by then.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import content_sort, line_quality, mixing, near_dedup, packing
-from tidemark.session import materialize
+from tidemark.session import materialize, release_between, written
 
+_ON_THE_WAY: list[tuple[int, int]] = []  # of the stages so far
 
+
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _ON_THE_WAY:
+            release_between(spark, *_ON_THE_WAY.pop())
+        first = written()
+        out = stage(spark, docs, sf_dir)
+        _ON_THE_WAY.append((first, written()))
+        return out
+    return run_stage
+
+
+@staged
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return line_quality.clean(docs)
 
 
+@staged
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, the largest identifier."""
     return content_sort.dedup(docs)
 
 
+@staged
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the smallest identifier."""
     return near_dedup.dedup(docs)
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed(docs)
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece with its sequence and its place there."""
     return packing.pack(packing.cut(docs)).select(

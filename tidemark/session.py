@@ -76,6 +76,7 @@ def application_dir(spark: SparkSession) -> str:
 
 
 _OWN: set[str] = set()
+_WRITTEN: list[str] = []  # tables written on the way, in order
 _UNSET: dict[str, str] = {}  # local runs without the setting, by application
 
 
@@ -86,6 +87,24 @@ def release(spark: SparkSession, path: str | None = None) -> None:
     if path not in _OWN:
         return
     _OWN.discard(path)
+    _delete(spark, path)
+
+
+def written() -> int:
+    """How many tables have been written on the way so far."""
+    return len(_WRITTEN)
+
+
+def release_between(spark: SparkSession, first: int, last: int) -> None:
+    """Remove the tables that were written on the way between two calls of
+    :func:`written`, when all that reads them has been written elsewhere."""
+    for k in range(first, last):
+        if _WRITTEN[k]:
+            _delete(spark, _WRITTEN[k])
+            _WRITTEN[k] = ""
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     try:
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -103,5 +122,6 @@ def materialize(df: DataFrame) -> DataFrame:
     columnar reads and a count from footers.  Never a local checkpoint.
     """
     path = f"{application_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
