@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql.utils import AnalysisException  # noqa: F401
 
@@ -131,3 +132,71 @@ def test_read_all_with_custom_file_names(spark, scratch):
     _write(scratch, "export_customers.csv", CUSTOMERS_CSV)
     t = read_bronze_all(spark, scratch, {"orders": "export_orders_2018.csv", "customers": "export_customers.csv"})
     assert set(t) == {"orders", "customers"} and t["orders"].count() == 3 and t["customers"].count() == 1
+
+
+ITEMS_HEAD = "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
+
+
+def test_header_in_another_order_fails(spark, scratch):
+    swapped = "customer_unique_id,customer_id,customer_zip_code_prefix,customer_city,customer_state\nP1,R1,01001,x,SP\n"
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_bronze(spark, _write(scratch, "swapped.csv", swapped), "customers").collect()
+
+
+def test_row_with_too_many_fields_fails(spark, scratch):
+    text = ITEMS_HEAD + "o1,1,p1,s1,2018-01-01 00:00:00,extra,10.00,2.00\n"
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_bronze(spark, _write(scratch, "ragged.csv", text), "order_items").collect()
+
+
+@pytest.mark.parametrize("price", ["", '""', "10.999", "abc"])
+def test_strict_price_fails_or_is_rejected(spark, scratch, price):
+    text = ITEMS_HEAD + f"o1,1,p1,s1,2018-01-01 00:00:00,{price},2.00\no2,1,p1,s1,2018-01-01 00:00:00,10.90,2.00\n"
+    b = read_bronze(spark, _write(scratch, "items.csv", text), "order_items")
+    with pytest.raises(PySparkException):
+        silver("order_items", b).collect()
+    good, rejects = silver("order_items", b, reject=True)
+    assert [r.order_id for r in good.collect()] == ["o2"] and [r.order_id for r in rejects.collect()] == ["o1"]
+
+
+def test_stream_rejects_ragged_rows(spark, scratch):
+    landing = os.path.join(scratch, "landing_ragged")
+    os.makedirs(landing)
+    _write(landing, "items.csv", ITEMS_HEAD + "o1,1,p1,s1,2018-01-01 00:00:00,extra,10.00,2.00\n"
+           "o2,1,p1,s1,2018-01-01 00:00:00,10.90,2.00\n")
+    out, rej = os.path.join(scratch, "out_ragged"), os.path.join(scratch, "rej_ragged")
+    for q in stream_to_silver(spark, landing, "order_items", out, checkpoint=os.path.join(scratch, "ck_ragged"), reject_dir=rej):
+        q.awaitTermination(120)
+    assert [r.order_id for r in spark.read.parquet(out).collect()] == ["o2"]
+    assert [r.order_id for r in spark.read.parquet(rej).collect()] == ["o1"]
+
+
+def test_default_stream_checkpoint_is_the_same_in_every_session(spark, scratch):
+    """Progress lies under the configured folder, not under a session's own."""
+    from tidemark.session import shared_dir
+    landing, out = os.path.join(scratch, "landing_twice"), os.path.join(scratch, "out_twice")
+    os.makedirs(landing)
+    _write(landing, "a.csv", ORDERS_CSV)
+    for q in stream_to_silver(spark, landing, "orders", out):
+        q.awaitTermination(120)
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(os.path.join(scratch, "another"))  # what a new session does
+    _write(landing, "b.csv", ORDERS_CSV.replace("o1,", "n1,").replace("o2,", "n2,").replace("o3,", "n3,"))
+    for q in stream_to_silver(spark, landing, "orders", out):
+        q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 6 and shared_dir(spark) == shared_dir(spark.newSession())
+    if before:
+        spark.sparkContext.setCheckpointDir(before)
+
+
+def test_queries_see_files_added_to_a_folder(spark, scratch):
+    from tidemark.plans import build_queries
+    src = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "customer", "supplier", "part", "lineitem"):
+        os.symlink(f"{src}/{name}.parquet", os.path.join(scratch, f"{name}.parquet"))
+    orders = os.path.join(scratch, "orders.parquet")
+    spark.read.parquet(f"{src}/orders.parquet").coalesce(1).write.parquet(orders)
+    count = build_queries()["row_counts"]
+    first = {r.tbl: r["count"] for r in count(spark, scratch).collect()}["orders"]
+    spark.read.parquet(f"{src}/orders.parquet").coalesce(1).write.mode("append").parquet(orders)
+    assert {r.tbl: r["count"] for r in count(spark, scratch).collect()}["orders"] == 2 * first

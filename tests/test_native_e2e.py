@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from tidemark.plans.analyses import analyses
-from tidemark.plans.catalog import BRONZE_TABLES, TPCH_PARAMS, bound_tables
-from tidemark.schema import BRONZE_COLUMNS
+from tidemark.plans.catalog import BRONZE_TABLES, TPCH_PARAMS
+from tidemark.sources.tpch import tpch_tables
+from tidemark.schema import BRONZE_COLUMNS, SILVER_TYPES
 from tidemark.sources.bronze import to_bronze
 from tidemark.sources.native import build_silver, native_tables
 
@@ -27,11 +28,13 @@ KEYS = ["time_range", "revenue_fanned_out", "revenue_item_grain", "revenue_infla
 @pytest.fixture(scope="module")
 def both(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("e2e")
-    direct = bound_tables(spark, SF_MID)
+    direct = tpch_tables(spark, SF_MID)
     raw = os.path.join(root, "raw")
     for table, (attr, cols) in BRONZE_TABLES.items():
         df = to_bronze(getattr(direct, attr).select(*cols))
-        full = df.select([F.col(c) if c in cols else F.lit(None).cast("string").alias(c)
+        # columns without a counterpart: blank where silver keeps blanks, a value where it is strict
+        strict = {c for c, (_, guarded) in SILVER_TYPES.get(table, {}).items() if not guarded}
+        full = df.select([F.col(c) if c in cols else F.lit("1" if c in strict else None).cast("string").alias(c)
                           for c in BRONZE_COLUMNS[table]])
         full.write.option("header", True).csv(os.path.join(raw, f"{table}.csv"))
     build_silver(spark, raw, os.path.join(root, "silver"))

@@ -18,11 +18,17 @@ _MULTILINE = {"order_reviews"}
 
 
 def read_bronze(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
-    """Read one raw CSV table (header row, all columns text)."""
+    """Read one raw CSV table (header row, all columns text).
+
+    The header must name the table's columns in their order, and a row must
+    have as many fields: anything else fails the read instead of shifting
+    values into other columns.  A multi-line file (reviews) is one task, so
+    land such tables in files of a few hundred MB."""
     reader = (spark.read.schema(bronze_schema(table))
               .option("header", True)
+              .option("enforceSchema", False)
               .option("escape", '"')
-              .option("mode", "PERMISSIVE"))
+              .option("mode", "FAILFAST"))
     if table in _MULTILINE:
         reader = reader.option("multiLine", True)
     for k, v in options.items():

@@ -1,11 +1,12 @@
 """Silver layer: typed, cleaned copies of the bronze tables, and the sink.
 
 Guarded columns go through ``NULLIF(TRIM(col), '')`` before the cast so a
-meaningful blank (an undelivered order) survives as NULL.  Unguarded
-columns are cast strictly: with ANSI mode a blank there fails the job, as
-the source pipeline intends.  ``reject=True`` switches every cast to
-``try_cast`` and returns (rows that parsed, raw rows where a non-blank
-value did not parse) instead of failing.
+meaningful blank (an undelivered order) survives as NULL.  Unguarded columns
+are strict: a blank or NULL there is an error, also where the CSV reader has
+turned the blank into NULL.  A value with more decimal places than its type
+keeps is an error too.  An error fails the job; with ``reject=True`` the
+result is (rows without error, raw rows with one), and rows that the reader
+marked as malformed (column ``CORRUPT``) are among the latter.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import SILVER_BLANK_TO_NULL, SILVER_TYPES
+from tidemark.schema import MONEY, SILVER_BLANK_TO_NULL, SILVER_TYPES
+
+
+CORRUPT = "_corrupt_record"
 
 
 def _blank_null(c: str) -> Column:
@@ -26,24 +30,31 @@ def silver(table: str, bronze: DataFrame, reject: bool = False):
     """Typed silver table for ``table``; with ``reject`` returns (silver, rejects)."""
     spec = SILVER_TYPES.get(table, {})
     blanks = set(SILVER_BLANK_TO_NULL.get(table, []))
-    cols, bad = [], []
+    corrupt = [F.col(CORRUPT).isNotNull()] if CORRUPT in bronze.columns else []
+    cols, bad = [], list(corrupt)
     for c in bronze.columns:
-        if c in spec:
-            typ, guarded = spec[c]
-            src = _blank_null(c) if (guarded or reject) else F.col(c)
-            if reject:
-                typed = F.expr(f"try_cast(NULLIF(TRIM(`{c}`), '') AS {typ})")
-                bad.append(_blank_null(c).isNotNull() & typed.isNull())
-            else:
-                typed = src.cast(typ)
-            cols.append(typed.alias(c))
-        elif c in blanks:
-            cols.append(_blank_null(c).alias(c))
+        if c == CORRUPT:
+            continue
+        if c not in spec:
+            cols.append(_blank_null(c).alias(c) if c in blanks else F.col(c))
+            continue
+        typ, guarded = spec[c]
+        typed = F.expr(f"try_cast(NULLIF(TRIM(`{c}`), '') AS {typ})")
+        wrong = typed.isNull() & _blank_null(c).isNotNull()
+        if not guarded:  # a blank is an error too
+            wrong = typed.isNull()
+        if typ == MONEY:  # more places than the type keeps
+            exact = F.expr(f"try_cast(NULLIF(TRIM(`{c}`), '') AS decimal(38,18))")
+            wrong = wrong | (typed.isNotNull() & ~F.coalesce(exact == typed, F.lit(False)))
+        if reject:
+            bad.append(wrong)
         else:
-            cols.append(F.col(c))
+            message = F.concat(F.lit(f"{table}.{c}: no {typ} without loss in '"), F.coalesce(F.col(c), F.lit("")), F.lit("'"))
+            typed = F.when(wrong, F.raise_error(message)).otherwise(typed)
+        cols.append(typed.cast(typ).alias(c))
     if not reject:
         return bronze.select(cols)
-    failed = reduce(lambda a, b: a | b, bad) if bad else F.lit(False)
+    failed = F.coalesce(reduce(lambda a, b: a | b, bad), F.lit(False)) if bad else F.lit(False)
     # rows with a value that did not parse go only to the reject table
     return bronze.where(~failed).select(cols), bronze.where(failed)
 

@@ -18,16 +18,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import bronze_schema
 from tidemark.session import shared_dir
-from tidemark.sources.silver import silver
+from tidemark.sources.silver import CORRUPT, silver
 
 _MULTILINE = {"order_reviews"}
 
 
 def read_bronze_stream(spark: SparkSession, landing_dir: str, table: str,
-                       max_files_per_trigger: int | None = None):
-    """Streaming all-text reader over a folder of raw CSV files."""
-    r = (spark.readStream.schema(bronze_schema(table))
-         .option("header", True).option("escape", '"').option("mode", "PERMISSIVE"))
+                       max_files_per_trigger: int | None = None, keep_corrupt: bool = False):
+    """Streaming all-text reader over a folder of raw CSV files.  A file whose
+    header differs fails the stream; so does a row with too few or too many
+    fields, unless ``keep_corrupt`` hands it on in the column ``CORRUPT``."""
+    schema = bronze_schema(table)
+    if keep_corrupt:
+        schema = schema.add(CORRUPT, "string")
+    r = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"')
+         .option("mode", "PERMISSIVE" if keep_corrupt else "FAILFAST").option("columnNameOfCorruptRecord", CORRUPT))
     if table in _MULTILINE:
         r = r.option("multiLine", True)
     if max_files_per_trigger:
@@ -47,7 +52,7 @@ def stream_to_silver(spark: SparkSession, landing_dir: str, table: str, silver_d
     """
     sink = hashlib.sha256(silver_dir.rstrip("/").encode()).hexdigest()[:16]
     base = checkpoint or f"{shared_dir(spark)}/stream-silver-{table}-{sink}"
-    raw = read_bronze_stream(spark, landing_dir, table)
+    raw = read_bronze_stream(spark, landing_dir, table, keep_corrupt=bool(reject_dir))
     if reject_dir:
         typed, rejects = silver(table, raw, reject=True)
     else:
