@@ -290,8 +290,8 @@ def test_exposure_partitions_persons_with_a_delivery(spark):
 
 def test_delay_distribution_approx_option(spark):
     from conftest import SF_MID
-    from tidemark.plans.catalog import bound_tables
-    t = bound_tables(spark, SF_MID)
+    from tidemark.sources.tpch import tpch_tables
+    t = tpch_tables(spark, SF_MID)
     exact = dlv.delay_distribution(t.orders).first()
     approx = dlv.delay_distribution(t.orders, exact=False).first()
     assert (approx.min_delay, approx.max_delay, approx.avg_delay) == (exact.min_delay, exact.max_delay, exact.avg_delay)

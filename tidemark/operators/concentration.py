@@ -17,11 +17,13 @@ from tidemark.operators.primitives import RUNNING, ntile_desc, rank_desc, share_
 def entity_revenue(items: DataFrame, entity: str, products: DataFrame | None = None,
                    alias: str | None = None) -> DataFrame:
     """Revenue per entity (item grain); the entity may live on ``products``."""
-    src = items.select("product_id", entity, revenue().alias("_rev")) if products is None else (
-        items.select("product_id", revenue().alias("_rev"))
-        .join(products.select("product_id", entity), "product_id"))
     name = alias or entity
-    return src.groupBy(F.col(entity).alias(name)).agg(F.sum("_rev").alias("revenue"))
+    if products is None:
+        return items.groupBy(F.col(entity).alias(name)).agg(F.sum(revenue()).alias("revenue"))
+    # one row a product before the join: partial sums, no item row is exchanged as such
+    per = items.groupBy("product_id").agg(F.sum(revenue()).alias("_rev"))
+    return (per.join(products.select("product_id", entity), "product_id")
+            .groupBy(F.col(entity).alias(name)).agg(F.sum("_rev").alias("revenue")))
 
 
 def _pareto_ranked(items, products, entity, alias, **kw):

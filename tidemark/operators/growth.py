@@ -33,12 +33,12 @@ def category_years(orders: DataFrame, items: DataFrame, products: DataFrame,
          .where(half_open(ts, *wa) | half_open(ts, *wb))
          .select("order_id", F.when(half_open(ts, *wa), F.lit(year_a)).otherwise(F.lit(year_b)).alias("_year")))
     p = products.where(F.col(category).isNotNull()).select("product_id", category)
-    rows = (items.select("order_id", "product_id", revenue().alias("_rev"))
-            .join(o, "order_id").join(p, "product_id"))
     zero = F.lit(0).cast("decimal(18,2)")
-    return rows.groupBy(category).agg(
-        money(F.sum(F.when(F.col("_year") == year_a, F.col("_rev")).otherwise(zero))).alias(f"rev_{year_a}"),
-        money(F.sum(F.when(F.col("_year") == year_b, F.col("_rev")).otherwise(zero))).alias(f"rev_{year_b}"))
+    years = {y: F.when(F.col("_year") == y, F.col("_rev")).otherwise(zero) for y in (year_a, year_b)}
+    sold = (items.select("order_id", "product_id", revenue().alias("_rev")).join(o, "order_id")
+            .groupBy("product_id").agg(*(F.sum(v).alias(f"_rev_{y}") for y, v in years.items())))
+    return sold.join(p, "product_id").groupBy(category).agg(
+        *(money(F.sum(f"_rev_{y}")).alias(f"rev_{y}") for y in years))
 
 
 def _growth(a, b):

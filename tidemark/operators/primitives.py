@@ -19,8 +19,8 @@ not over sellers or persons, so entity-level rankings go through
 4. ``row_number`` / running sum run per bucket (``Window.partitionBy``) —
    or, when only ranks are needed, the position inside the sorted range
    partition — and a ≤B-row table of bucket counts and sums turns them into
-   global ranks with exclusive prefix sums; that table is broadcast
-   (B ≤ ``max_buckets``).
+   global ranks with exclusive prefix sums; that table is broadcast up to
+   ``BROADCAST_BUCKETS`` rows.
 
 The bucket bounds only affect balance, never the result.
 """
@@ -39,7 +39,7 @@ RUNNING = "_running"
 BUCKET = "_bucket"
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-DEFAULT_MAX_BUCKETS = 4096
+BROADCAST_BUCKETS = 100_000  # a bucket's row has 5 numbers; more buckets are joined without a hint
 ROWS_PER_BUCKET_CONF = "tidemark.rank.rows_per_bucket"  # session setting overriding the default
 
 
@@ -60,15 +60,11 @@ def first_event(df: DataFrame, key: str | list[str], order_by: list[Column],
 
 
 def _session_int(df: DataFrame, conf: str, default: int) -> int:
-    try:
-        return int(df.sparkSession.conf.get(conf, str(default)))
-    except (TypeError, ValueError):
-        return default
+    return int(df.sparkSession.conf.get(conf, str(default)))
 
 
 def rank_desc(df: DataFrame, value: str, key: str, *,
               rows_per_bucket: int | None = None,
-              max_buckets: int = DEFAULT_MAX_BUCKETS,
               checkpoint: bool = True, running: bool = True) -> tuple[DataFrame, int]:
     """Exact global rank and running sum by ``value`` desc, ``key`` asc.
 
@@ -88,19 +84,11 @@ def rank_desc(df: DataFrame, value: str, key: str, *,
         rows_per_bucket = _session_int(df, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
     base = materialize(df) if checkpoint else df
     n = base.count()
-    n_buckets = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
+    # one plan at every size: at least as many buckets as the session's shuffles have partitions
+    n_buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / max(1, rows_per_bucket)))
+    small = F.broadcast if n_buckets <= BROADCAST_BUCKETS else (lambda df: df)
     order = [F.col(value).desc_nulls_last(), F.col(key).asc_nulls_last()]
 
-    if n_buckets == 1:
-        # at most rows_per_bucket rows: one sorted task is the plan, and no
-        # bucket table or join is needed
-        w1 = Window.orderBy(*order)
-        out = (base.withColumn(RANK, F.row_number().over(w1).cast("bigint"))
-               .withColumn(RUNNING, F.sum(value).over(w1.rowsBetween(Window.unboundedPreceding,
-                                                                      Window.currentRow)))
-               .withColumn("_total", F.sum(value).over(Window.partitionBy())))
-        return out, n
-
     ranged = base.repartitionByRange(n_buckets, *order)
     if not running:
         pid = F.spark_partition_id()
@@ -110,7 +98,7 @@ def rank_desc(df: DataFrame, value: str, key: str, *,
         stats = bucketed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
         stats = stats.select(BUCKET, F.coalesce(F.sum("_cnt").over(
             Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_rank_offset"))
-        out = (bucketed.join(F.broadcast(stats), BUCKET)
+        out = (bucketed.join(small(stats), BUCKET)
                .withColumn(RANK, (F.col("_rank_offset") + F.col("_local_rank")).cast("bigint"))
                .drop("_local_rank", "_rank_offset", BUCKET))
         return out, n
@@ -124,7 +112,7 @@ def rank_desc(df: DataFrame, value: str, key: str, *,
                          F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
 
     stats = bucketed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_cnt"), F.sum(value).alias("_sum"))
-    ws = Window.orderBy(BUCKET)  # at most max_buckets rows
+    ws = Window.orderBy(BUCKET)  # a row a bucket
     prev = ws.rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select(
         BUCKET,
@@ -132,7 +120,7 @@ def rank_desc(df: DataFrame, value: str, key: str, *,
         F.sum("_sum").over(prev).alias("_sum_offset"),
         F.sum("_sum").over(Window.partitionBy()).alias("_total"),
     )
-    out = (local.join(F.broadcast(stats), BUCKET)
+    out = (local.join(small(stats), BUCKET)
            .withColumn(RANK, (F.col("_rank_offset") + F.col("_local_rank")).cast("bigint"))
            .withColumn(RUNNING, F.when(F.col("_sum_offset").isNull(), F.col("_local_running"))
                        .otherwise(F.col("_sum_offset") + F.coalesce(F.col("_local_running"), F.lit(0))))
