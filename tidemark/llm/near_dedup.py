@@ -334,10 +334,14 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     held = (texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             .mapInArrow(_sets, "rep long, held binary"))
     whole = members.join(reps.join(held, "rep"), "rep")
-    open_ = materialize(whole.groupBy("band", "blk").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")))
-    meet = (open_.select("band", F.col("blk").alias("blk_a"), F.col("m").alias("m_a"))
-            .join(open_.select("band", F.col("blk").alias("blk_b"), F.col("m").alias("m_b")), "band")
-            .where("blk_a <= blk_b").select("band", "m_a", "m_b"))
+    open_ = materialize(whole.groupBy("band", "n", "blk").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")))
+    # a block meets itself where it lies; only blocks of a bucket that has several are exchanged
+    alone = open_.select("band", F.col("m").alias("m_a"), F.col("m").alias("m_b"))
+    several = open_.where(F.col("n") > SIDE)
+    meet = alone.unionByName(
+        several.select("band", F.col("blk").alias("blk_a"), F.col("m").alias("m_a"))
+        .join(several.select("band", F.col("blk").alias("blk_b"), F.col("m").alias("m_b")), "band")
+        .where("blk_a < blk_b").select("band", "m_a", "m_b"))
     with _small_batches(docs.sparkSession):
         more = materialize(meet.mapInArrow(_blocks_link, "a long, b long"))
     found = materialize(components(links.unionByName(more))) if more.take(1) else found
