@@ -401,6 +401,22 @@ def test_boilerplate_is_removed_copies_are_not(spark):
     assert not out[200]["kept"] and out[200]["n_removed_words"] == 40 and out[0]["n_removed_words"] == 20
 
 
+def test_lines_that_occur_together_are_each_counted(spark):
+    rng = random.Random(8)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n))
+    template = [letters(4) for _ in range(20)]
+    texts = [(i, "\n".join([*template[:10], letters(4), *template[10:]]), "h") for i in range(300)]
+    texts += [(1000 + i, letters(30) + "\n" + template[0], "h") for i in range(5)]
+    copy = "\n".join(letters(12) for _ in range(4))
+    texts += [(2000 + i, (copy + "\n\n", copy.upper())[i % 2], "h") for i in range(90)]  # true copies count once
+    texts += [(3000 + i, "\n".join([copy.split("\n")[0], letters(30)]), "h") for i in range(49)]  # with the copy: 50 documents
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(4)
+    out = {r["doc_id"]: r for r in rows(line_quality.judge(docs))}
+    assert all((out[i]["n_removed_words"], out[i]["kept"]) == (80, False) for i in range(300))
+    assert all((out[1000 + i]["n_removed_words"], out[1000 + i]["kept"]) == (4, True) for i in range(5))
+    assert all((out[i]["n_removed_words"], out[i]["kept"]) == (0, True) for i in (*range(2000, 2090), *range(3000, 3049)))
+
+
 # --- 7: URLs ---
 
 def test_url_rules(spark):

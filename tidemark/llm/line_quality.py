@@ -1,10 +1,10 @@
 """Quality rules on lines that many documents of a host share.
 
 A line's key hashes its host (a column) with its normalised text (A-Z
-lower-cased, digits as 0, white space as one space).  Documents that agree in
-their smallest other line count once for it, so copies of a document, near
-ones too, don't make its lines boilerplate.  Lines with more than ``LIMIT``
-such documents are removed; a document is rejected (depleted) if fewer than
+lower-cased, digits as 0, white space as one space).  Documents whose lines
+have the same keys in the same order are copies and count once, so copies of a
+document don't make its lines boilerplate.  Lines with more than ``LIMIT``
+distinct documents are removed; a document is rejected (depleted) if fewer than
 ``LEAST_WORDS`` of its words are left, or less than ``LEAST_SHARE`` of them.
 
 Base figures need no exchange: they are array functions over the one text.
@@ -79,14 +79,13 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host:
 
 
 def frequent_lines(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Keys of lines in more than ``limit`` documents; documents that agree in
-    their smallest other line count as one."""
-    keys = rows.select(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("keys"))
-    least, second = F.get("keys", F.lit(0)), F.get("keys", F.lit(1))
-    seen = (keys.select(least.alias("least"), second.alias("second"), F.explode("keys").alias("key"))
-            .select("key", F.coalesce(F.when(F.col("key") == F.col("least"), F.col("second")).otherwise(F.col("least")),
-                                      F.lit(-1)).alias("other")))
-    return (seen.groupBy("key").agg(F.countDistinct("other").alias("n"))
+    """Keys of lines in more than ``limit`` documents; copies (all their line
+    keys are equal, in the same order) count as one."""
+    keys = rows.select(F.transform("lines", lambda x: x["key"]).alias("keys"))
+    # the digest of its own select: beside explode it would be taken anew for every line
+    seen = (keys.select(F.xxhash64("keys").alias("whole"), F.array_distinct("keys").alias("keys"))
+            .select("whole", F.explode("keys").alias("key")))
+    return (seen.groupBy("key").agg(F.countDistinct("whole").alias("n"))
             .where(F.col("n") > limit).select("key"))
 
 
