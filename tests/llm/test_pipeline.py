@@ -1,6 +1,7 @@
 """The pipeline's stages on their own input, and the SQL of the queries."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -32,6 +33,47 @@ def test_stages_take_effect(spark):
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 4096
 
 
+def five_word_components(texts):
+    """Smallest identifier of each component at five words and 0.8, all pairs compared."""
+    sets = {}
+    for i, t in texts:
+        w = t.lower().split()
+        n = min(5, len(w))
+        sets[i] = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+    above = {i: i for i in sets}
+
+    def find(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b]) if a > b else 0
+            if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                above[max(x, y)] = min(x, y)
+    return {find(i) for i in sets}
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = []
+    for k in range(60):
+        base = draw(200)
+        block = draw(rng.randrange(30, 60))  # 5-word similarity of about 0.76 to 0.86, 3-word similarity nearly the same
+        edited = list(base)
+        for at in rng.sample(range(200), rng.randrange(3, 8)):  # scattered edits: 3-word similarity is the higher one
+            edited[at] = f"x{at}"
+        texts += [(10 * k + 1, " ".join(base)), (10 * k + 2, " ".join(base + block)), (10 * k + 3, " ".join(edited))]
+    left = pipe.near(spark, spark.createDataFrame(texts, "doc_id long, text string").repartition(3), MID)
+    want = five_word_components(texts)
+    assert 60 < len(want) < 180
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(want)
+
+
 def test_queries_are_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == [n for n in queries.QUERIES if n != "pipeline"] and "pipeline" in names

@@ -1,13 +1,13 @@
 """Near-duplicate groups by SuperMinHash, banding, verification and union-find.
 
-A document's set holds its distinct shingles of ``SHINGLE`` words (words end
+A document's set holds its distinct shingles of ``size`` words (words end
 at ASCII white space, A-Z lower-cased); two documents are linked when
-intersection >= ``THRESHOLD`` % of union.  A group is a connected component.
+intersection >= ``threshold`` % of union.  A group is a connected component.
 
 1. Where texts are read, each becomes a signature (SuperMinHash: the shingles
    of a document take places by correlated permutations in rounds of rising
    rank; a document stops at the first round that can't lower its signature),
-   ``BANDS`` band keys, its set's size and a digest of its words.
+   ``bands`` band keys of ``BAND`` places, its set's size and a digest of its words.
 2. Texts of equal words are one class; only its smallest document goes on.
 3. In each band bucket every member is paired with the bucket's centres
    (``CENTRES``, smallest under differing orders): pairs grow with the bucket, not
@@ -24,7 +24,8 @@ intersection >= ``THRESHOLD`` % of union.  A group is a connected component.
    that share a bucket is lost, whatever the centres were, and no pairs are
    written out.
 
-A link of similarity 0.85 misses all buckets with probability below 1e-6.
+With ``BANDS`` bands a link of similarity 0.85 misses all buckets with
+probability below 1e-6; with 36, one of 0.80 does so too.
 
 Defined results: NULL or white-space-only texts have the empty set and stand
 alone; links join identifiers, so rows that share one are linked through it;
@@ -38,6 +39,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -52,8 +54,8 @@ from tidemark.session import materialize
 
 SHINGLE = 3
 THRESHOLD = 85
-PLACES, BAND = 120, 5
-BANDS = PLACES // BAND
+BAND, BANDS = 5, 24
+PLACES = BAND * BANDS
 CENTRES = 3
 SIDE = 128  # members of one block in step 5
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)  # splitmix64
@@ -125,8 +127,9 @@ def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
 
 def _bands(sig: np.ndarray) -> np.ndarray:
     """Band keys, one column a band."""
-    out = np.zeros((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
+    bands = sig.shape[1] // BAND
+    out = np.zeros((len(sig), bands), np.uint64)
+    for b in range(bands):
         x = np.full(len(sig), b + 1, np.uint64)
         for k in range(b * BAND, (b + 1) * BAND):
             x = _mix(x * STEP + sig[:, k])
@@ -138,21 +141,22 @@ _SIGNED = "row long, doc_id long, n_shingles long, digest binary, bands array<lo
 _PER_TURN = 100_000  # shingles whose permutations are held at a time
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], size: int = SHINGLE, n_bands: int = BANDS) -> Iterator[pa.RecordBatch]:
+    places = n_bands * BAND
     for batch in batches:
         for b in blocks(batch, "text", _BLOCK_BYTES):
             held = [words(t) for t in b.column("text").to_pylist()]
-            sets = [shingles(w) for w in held]
-            sig = np.zeros((len(sets), PLACES), np.uint64)
+            sets = [shingles(w, size) for w in held]
+            sig = np.zeros((len(sets), places), np.uint64)
             turn = np.cumsum([len(s) for s in sets]) // _PER_TURN
             for t in np.unique(turn):
                 own = np.flatnonzero(turn == t)
-                sig[own] = superminhash([sets[k] for k in own])
+                sig[own] = superminhash([sets[k] for k in own], places)
             bands = _bands(sig)
             yield pa.RecordBatch.from_arrays([
                 b.column("row"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in held], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n_bands, pa.int32()), pa.array(bands.ravel())),
                 pa.array([s.tobytes() for s in _mix(sig).astype(np.uint8)], pa.binary())],
                 ["row", "doc_id", "n_shingles", "digest", "bands", "sig"])
 
@@ -163,21 +167,22 @@ def least_agreement(threshold: int = THRESHOLD, places: int = PLACES) -> int:
     return max(1, int(places * (t - 5 * (t * (1 - t) / places) ** 0.5)))
 
 
-def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _agreeing(batches: Iterator[pd.DataFrame], threshold: int, places: int) -> Iterator[pd.DataFrame]:
     """Pairs whose one-byte signatures and set sizes allow a link."""
     for pairs in batches:
         if len(pairs):
-            a, b = (np.frombuffer(b"".join(pairs[c]), np.uint8).reshape(-1, PLACES) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(pairs[c]), np.uint8).reshape(-1, places) for c in ("sig_a", "sig_b"))
             n, m = pairs["n_a"].to_numpy(), pairs["n_b"].to_numpy()
-            may = ((a == b).sum(axis=1) >= least_agreement()) & (100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m))
+            may = (((a == b).sum(axis=1) >= least_agreement(threshold, places))
+                   & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)))
             yield pairs.loc[may, ["a", "b"]]
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact: 100 |A and B| >= THRESHOLD |A or B| on full sets of shingles."""
+def _linked(batches: Iterator[pa.RecordBatch], size: int, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Exact: 100 |A and B| >= threshold |A or B| on full sets of shingles."""
     def full(text: bytes) -> set[tuple[bytes, ...]]:
         w = words(text)
-        n = min(SHINGLE, len(w))
+        n = min(size, len(w))
         return set(zip(*(w[k:len(w) - n + 1 + k] for k in range(n)))) if w else set()
 
     held: dict[int, set] = {}  # a centre's set serves many pairs
@@ -188,37 +193,37 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = {b: full(text_b.as_py())}
             x, y = full(text_a.as_py()), held[b]
             common = len(x & y)
-            out.append(100 * common >= THRESHOLD * (len(x) + len(y) - common))
+            out.append(100 * common >= threshold * (len(x) + len(y) - common))
         yield pairs.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
 
 _MEMBER = ("rep", "component", "n_shingles", "sig", "bands", "held")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch, "text", _BLOCK_BYTES):
-            held = [shingles(words(t)).tobytes() for t in b.column("text").to_pylist()]
+            held = [shingles(words(t), size).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held, pa.binary())], ["rep", "held"])
 
 
-def _side(members: pa.ListScalar) -> dict[str, np.ndarray | list]:
+def _side(members: pa.ListScalar, n_bands: int) -> dict[str, np.ndarray | list]:
     m = members.values
     out = {k: m.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("rep", "component", "n_shingles")}
-    out["sig"] = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
-    out["bands"] = m.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+    out["sig"] = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(-1, n_bands * BAND)
+    out["bands"] = m.field("bands").flatten().to_numpy().reshape(-1, n_bands)
     out["held"] = [np.frombuffer(x, np.uint64) for x in m.field("held").to_pylist()]
     return out
 
 
-def _blocks_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks_link(batches: Iterator[pa.RecordBatch], threshold: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     """Two blocks of one bucket -> links between different components, one
     for each two components that meet here."""
-    least = least_agreement()
+    least = least_agreement(threshold, n_bands * BAND)
     for batch in batches:
         links: list[tuple[int, int]] = []
         for r in range(batch.num_rows):
-            x, y = (_side(batch.column(c)[r]) for c in ("m_a", "m_b"))
+            x, y = (_side(batch.column(c)[r], n_bands) for c in ("m_a", "m_b"))
             band = batch.column("band")[r].as_py()
             comp = {c: c for c in (*x["component"].tolist(), *y["component"].tolist())}
             for k in range(len(x["rep"])):
@@ -226,14 +231,14 @@ def _blocks_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = y["bands"] == x["bands"][k]
                 first = x["bands"][k][same.argmax(axis=1)] == band  # pairs are judged in the first bucket they share
                 hits = np.flatnonzero(first & (y["component"] != x["component"][k])
-                                      & (100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m))
+                                      & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
                                       & ((y["sig"] == x["sig"][k]).sum(axis=1) >= least))
                 for h in hits:
                     one, other = comp[int(x["component"][k])], comp[int(y["component"][h])]
                     if one == other:
                         continue
                     common = len(np.intersect1d(x["held"][k], y["held"][h], assume_unique=True))
-                    if 100 * common >= THRESHOLD * (int(n) + int(m[h]) - common):
+                    if 100 * common >= threshold * (int(n) + int(m[h]) - common):
                         links.append((int(x["rep"][k]), int(y["rep"][h])))
                         comp = {c: one if now == other else now for c, now in comp.items()}
         yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in links], pa.int64()),
@@ -283,22 +288,23 @@ def _small_batches(spark: SparkSession, rows: int = 8):
         spark.conf.set(key, before)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Pairs ``a, b`` that are linked; each text travels to its pairs."""
     pairs = materialize(pairs)
     side = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     centre = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     whole = pairs.join(side, "a").join(centre, "b")
-    return whole.mapInArrow(_linked, "a long, b long")
+    return whole.mapInArrow(partial(_linked, size=size, threshold=threshold), "a long, b long")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None, size: int = SHINGLE,
+                threshold: int = THRESHOLD, n_bands: int = BANDS) -> DataFrame:
     """``row`` (the given column, else a number), ``doc_id``, ``n_shingles``,
     ``component_id``, ``kept``, one row per document."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                          F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
                          (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
-    signed = materialize(narrow.mapInArrow(_sign, _SIGNED))
+    signed = materialize(narrow.mapInArrow(partial(_sign, size=size, n_bands=n_bands), _SIGNED))
     narrow = narrow.drop("row")
     classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
                           .agg(F.min("doc_id").alias("rep")))
@@ -319,8 +325,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     def signatures(side: str) -> DataFrame:
         return reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n_shingles").alias(f"n_{side}"))
 
-    near = materialize(pairs).join(signatures("a"), "a").join(signatures("b"), "b").mapInPandas(_agreeing, "a long, b long")
-    links = materialize(_verified(near, texts))
+    near = materialize(pairs).join(signatures("a"), "a").join(signatures("b"), "b").mapInPandas(
+        partial(_agreeing, threshold=threshold, places=n_bands * BAND), "a long, b long")
+    links = materialize(_verified(near, texts, size, threshold))
     found = materialize(components(links))
 
     # step 5: buckets that hold several components
@@ -332,7 +339,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     mixed = materialize(mixed)
     members = located.join(mixed, "band").withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SIDE)))
     held = (texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .mapInArrow(_sets, "rep long, held binary"))
+            .mapInArrow(partial(_sets, size=size), "rep long, held binary"))
     whole = members.join(reps.join(held, "rep"), "rep")
     open_ = materialize(whole.groupBy("band", "n", "blk").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")))
     # a block meets itself where it lies; only blocks of a bucket that has several are exchanged
@@ -343,7 +350,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
         .join(several.select("band", F.col("blk").alias("blk_b"), F.col("m").alias("m_b")), "band")
         .where("blk_a < blk_b").select("band", "m_a", "m_b"))
     with _small_batches(docs.sparkSession):
-        more = materialize(meet.mapInArrow(_blocks_link, "a long, b long"))
+        more = materialize(meet.mapInArrow(partial(_blocks_link, threshold=threshold, n_bands=n_bands), "a long, b long"))
     found = materialize(components(links.unionByName(more))) if more.take(1) else found
 
     # a document's component: its class's, by its smallest document
@@ -354,12 +361,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each group, all columns kept.  Rows without
     identifier that no identifier's words equal all stay."""
     row = clear_name("_row", docs.columns)
     whole = numbered(docs, row)
-    kept = near_groups(whole, text, doc_id, row).where("kept")
+    kept = near_groups(whole, text, doc_id, row, **options).where("kept")
     # rows may share an identifier: the first stays
     first = kept.where("component_id is not null").groupBy("component_id").agg(F.min("row").alias(row)).select(row)
     keep = first.unionByName(kept.where("component_id is null").select(F.col("row").alias(row)))
