@@ -328,6 +328,26 @@ def test_entropy_span_and_allow_list(spark):
     assert [out[k]["spans"] for k in (2, 3, 4)] == ["", "", ""]
 
 
+def test_slashes_and_fillers_do_not_hide_keys(spark):
+    rng = random.Random(12)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    draw = lambda n, of=base64: "".join(rng.choice(of) for _ in range(n))
+    keys = []
+    while len(keys) < 300:
+        k = draw((40, 88)[len(keys) % 2])
+        if k.count("/") >= 2 or k.startswith("/"):
+            keys.append(("aws_secret_access_key=", "key ")[len(keys) % 3 == 0] + k)
+    keys += [f"https://hooks.example.org.com/services/T00/B00/{draw(24, base64[:62])}" for _ in range(50)]
+    keys += [draw(42, base64[:62]) + filler + draw(42, base64[:62]) for filler in ("xxxx", "dummy", "Sample", "deadbeef")]
+    # no secrets
+    plain = ["/usr/lib/python3/dist-packages/numpy/core2", "path/to/Some1/long2/file3", "https://x.org/docs/2024/06/12/releaseNotes/version2/index",
+             "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", base64, "my-sample-key-1234567890-abcdefgh", "xxxxxxxxxxxxxxxxxxxxxxxx1234"]
+    texts = list(enumerate(keys + plain))
+    got = {r["doc_id"]: r["n_entropy"] for r in rows(secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert [t for i, t in texts[:len(keys)] if not got[i]] == []
+    assert [t for i, t in texts[len(keys):] if got[i]] == []
+
+
 # --- 4: mixing ---
 
 def test_mix(both):

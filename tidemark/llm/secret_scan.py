@@ -8,7 +8,12 @@ log2(W) - S / W with S the sum of c log2 c over its character counts, and
 a step changes S by the counts of the two characters that leave and enter.  A
 candidate whose highest window reaches its class's threshold is a span
 (``entropy``), unless it meets a base span or the allow-list says that it is
-no secret: UUIDs, placeholders, runs such as 0123456789, paths and words.
+no secret: UUIDs, fillers (placeholders, runs such as 0123456789), paths and
+words.  '/' and '=' are characters of base 64 too, and a filler may stand in a
+key by chance: a path is allowed only if two thirds of its characters are in
+parts like words, and neither a path nor a filler allows a candidate that has a piece
+of ``WINDOW`` characters or more, between separators and fillers, which reaches
+the threshold by itself.
 
 All of it are array functions over one text; nothing is exchanged.  Positions
 come from the lengths of the matches and of what lies between them.
@@ -39,11 +44,15 @@ CLASSES = (
 # fixed values: candidates that are no secrets
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|redacted|xxxx|lorem",
-    r"(?i)0123456789|1234567890|abcdefgh|deadbeef|qwerty",
-    r"^[A-Za-z]*[-_/=+]*$", r"^[0-9+/_=-]*$", r"^/|/.*/|//",
+    r"^[A-Za-z]*[-_/=+]*$", r"^[0-9+/_=-]*$",
     r"^(?i)[a-z]+(?:[-_/][a-z]+)+[0-9]{0,4}$",
 )
+# fixed values: they allow a candidate if no piece of it is a secret by itself
+FILLER = (r"(?i:example|sample|placeholder|changeme|dummy|redacted|xxxx|lorem"
+          r"|0123456789|1234567890|abcdefgh|deadbeef|qwerty)")
+PATH = r"^/|/.*/|//"
+SEPARATORS = r"[/+_=-]+"
+WORD = r"^(?=.{1,30}$)(?:[A-Z]{0,3}[a-z]+(?:[A-Z][a-z]{2,})*[0-9]{0,4}|[A-Z]{1,12}[0-9]{0,4}|[0-9]{1,8})$"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -98,11 +107,25 @@ def highest_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.log2(width) - least / width
 
 
-def allowed(value: Column) -> Column:
+def mixed(value: Column) -> Column:
+    """It has letters and digits."""
+    return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
+
+
+def allowed(value: Column, bits: float) -> Column:
     out = F.lit(False)
     for pattern in ALLOW:
         out = out | F.rlike(value, F.lit(pattern))
-    return out
+
+    def chars(parts: Column) -> Column:
+        return F.length(F.array_join(parts, ""))
+
+    parts = F.split(F.regexp_replace(value, "^[^/=]*=(?=[^=])", ""), SEPARATORS)  # without an assignment's name
+    words = F.filter(parts, lambda x: F.rlike(x, F.lit(WORD)))
+    path = F.rlike(value, F.lit(PATH)) & (3 * chars(words) > 2 * chars(parts))
+    secret = F.exists(F.split(value, f"{FILLER}|{SEPARATORS}"), lambda x: (F.length(x) >= WINDOW) & mixed(x)
+                      & ~F.rlike(x, F.lit(WORD)) & (highest_entropy(x) >= bits))
+    return out | ((F.rlike(value, F.lit(FILLER)) | path) & ~secret)
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -112,8 +135,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         "doc_id", "t",
         F.filter(located(F.col("t"), ASSIGN), lambda s: F.length(F.regexp_replace(s["value"], ASSIGN_HEAD, "")) >= 8).alias("assign"),
         located(F.col("t"), ACCESS).alias("access"), located(F.col("t"), HEX).alias("hex"),
-        *[F.filter(located(F.col("t"), pattern), lambda s: F.rlike(s["value"], F.lit("[0-9]")) & F.rlike(s["value"], F.lit("[A-Za-z]"))
-                   & ~allowed(s["value"])).alias(f"{name}_strings") for name, pattern, _ in CLASSES]).drop("t")
+        *[F.filter(located(F.col("t"), pattern), lambda s, bits=bits: mixed(s["value"]) & ~allowed(s["value"], bits))
+          .alias(f"{name}_strings") for name, pattern, bits in CLASSES]).drop("t")
     base = F.array_sort(F.concat(*[kind_spans(F.col(k), k, i) for i, k in enumerate(("assign", "access", "hex"))]))
     d = d.withColumn("base", base)
     more = [F.filter(F.col(f"{name}_strings"), lambda s, bits=bits: ~F.exists(
