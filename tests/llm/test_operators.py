@@ -384,6 +384,23 @@ def test_mix(both):
     assert Counter(r["doc_id"] for r in mix.select("doc_id").collect()) == +copies
 
 
+def test_mix_goes_on_after_a_long_document_at_the_edge(spark):
+    # source a misses a third of its words; its long document's u of about 0.33 lies at the edge
+    def u(i):
+        return int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:12], 16) / 2**48
+
+    long_id = min(range(10**6, 10**6 + 3000), key=lambda i: abs(u(i) - 0.36))
+    texts = [(i, 20, "a") for i in range(3000)] + [(long_id, 50_000, "a")] + [(10**7 + i, 55, "b") for i in range(1000)]
+    docs = spark.createDataFrame(texts, "doc_id long, n int, source string").select(
+        "doc_id", "source", F.expr("repeat('w ', n)").alias("text")).repartition(4)
+    out = rows(mixing.mix(docs, weights=(1, 3)))
+    assert len(out) == len(texts)
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 55, s
+    assert sum(r["copies"] for r in out if r["doc_id"] == long_id) == 0
+
+
 # --- 6: lines ---
 
 def test_line_quality(both):

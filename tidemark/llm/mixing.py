@@ -15,9 +15,10 @@ strips of about sqrt(documents) rows (``STRIP`` at least), of which all before
 the one that holds the missing share's edge are taken whole, and only that
 strip's rows are sorted.
 Inside it, documents that would exceed the target are passed over in favour of
-smaller ones further on (``PASSES`` times), and the smallest that is left is
-taken at the end if that comes nearer, so the taken words come as near the
-target as a few small documents can bring them.
+smaller ones further on (``PASSES`` times).  Where documents that fit are left
+by then, in this strip or after it, strips are summed and an edge is searched
+again over those alone, until none fits.  The smallest document that is left in
+the first edge's strip is taken at the end if that comes nearer.
 
 Defined results: NULL text has no words and is never sampled; a NULL source is
 a source of its own, after all others; a source without words has target 0;
@@ -75,6 +76,30 @@ def uniform(doc_id: Column, seed: int = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
+def _edges(ranked: DataFrame, missing: str) -> DataFrame:
+    """``of, edge, before``: the strip of each source where its missing words
+    end, and the words before it; no row if all of them fit."""
+    strips = ranked.groupBy("source", "strip").agg(F.sum("size").alias("words"), F.first(missing).alias("missing"))
+    upto = Window.partitionBy("source").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+    return (strips.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+            .where((F.col("before") <= F.col("missing")) & (F.col("before") + F.col("words") > F.col("missing")))
+            .groupBy(F.col("source").alias("of")).agg(F.min(F.struct("strip", "before")).alias("e"))
+            .select("of", F.col("e.strip").alias("edge"), F.col("e.before").alias("before")))
+
+
+def _fitted(strip: DataFrame) -> DataFrame:
+    """One strip a source, with ``picked`` and the words ``left`` of its ``room``."""
+    near = strip.withColumn("picked", F.lit(0).cast("long")).withColumn("left", F.col("room"))
+    for _ in range(PASSES):
+        order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
+        open_ = (F.col("picked") == 0) & (F.col("size") <= F.col("left"))
+        need = F.sum(F.when(open_, F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        near = near.withColumn("picked", F.when(open_ & (need <= F.col("left")), 1).otherwise(F.col("picked")))
+        used = F.sum(F.when(F.col("picked") == 1, F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
+        near = near.withColumn("left", F.col("room") - used)
+    return near
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", carry: tuple[str, ...] = (),
         weights=WEIGHTS, most: int = MOST, inclusion: str | None = None, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size,
@@ -83,7 +108,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.size(word_array(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("size"),
         (F.col(inclusion).cast("double") if inclusion else F.lit(1.0)).alias("inclusion"),
-        *([F.struct(*carry).alias("row")] if carry else []))
+        F.monotonically_increasing_id().alias("at"), *([F.struct(*carry).alias("row")] if carry else []))
     rows = materialize(rows)
     weighted = rows.withColumn("mass", F.col("inclusion") * F.col("size"))
     mass = weighted.groupBy(F.col("source").alias("with_mass")).agg(F.sum("mass").alias("mass"))
@@ -102,29 +127,44 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
               .withColumn("u", u).withColumn("q", (F.col("u") / (1 - F.col("u"))) * ((1 - p) / p))
               .withColumn("strip", F.floor(F.col("q") / (1 + F.col("q")) * F.col("strips"))).drop("of", "mass", "scale"))
 
-    # the strip of each source where the missing words end
-    strips = ranked.where("size > 0").groupBy("source", "strip").agg(F.sum("size").alias("words"),
-                                                                     F.first("missing").alias("missing"))
-    upto = Window.partitionBy("source").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (strips.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-            .where((F.col("before") <= F.col("missing")) & (F.col("before") + F.col("words") > F.col("missing")))
-            .groupBy(F.col("source").alias("of")).agg(F.min(F.struct("strip", "before")).alias("e"))
-            .select("of", F.col("e.strip").alias("edge"), F.col("e.before").alias("before")))
-    edge = materialize(edge)
+    edge = materialize(_edges(ranked.where("size > 0"), "missing"))
     placed = ranked.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     # without an edge, every strip fits: all documents are taken
     sure = F.col("edge").isNull() | (F.col("strip") < F.col("edge"))
     at_edge = F.coalesce((F.col("strip") == F.col("edge")) & (F.col("size") > 0), F.lit(False))
     rest = placed.where(~at_edge).withColumn("picked", (sure & (F.col("missing") > 0) & (F.col("size") > 0)).cast("long"))
-    near = placed.where(at_edge).withColumn("picked", F.lit(0).cast("long")).withColumn("left", F.col("missing") - F.col("before"))
-    for k in range(PASSES):
-        order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
-        open_ = (F.col("picked") == 0) & (F.col("size") <= F.col("left"))
-        need = F.sum(F.when(open_, F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        near = near.withColumn("picked", F.when(open_ & (need <= F.col("left")), 1).otherwise(F.col("picked")))
-        used = F.sum(F.when(F.col("picked") == 1, F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
-        near = near.withColumn("left", F.col("missing") - F.col("before") - used)
+    near = materialize(_fitted(placed.where(at_edge).withColumn("room", F.col("missing") - F.col("before"))))
+    left = materialize(near.groupBy(F.col("source").alias("of")).agg(F.first("left").alias("left")))
+
+    # documents after the edge, or passed over too often in its strip, that fit what is left
+    further = None
+    held = placed.where((F.col("strip") >= F.col("edge")) & (F.col("size") > 0)).select(
+        "at", "source", "strip", "q", "doc_id", "size")
+    taken = near.where("picked = 1").select("at")
+    while True:
+        held = materialize(held.join(left, F.col("source").eqNullSafe(F.col("of"))).where("size <= left").drop("of", "left")
+                           .join(taken, "at", "left_anti"))
+        if not held.take(1):
+            break
+        open_ = held.join(left.withColumnRenamed("left", "missing"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        edge = materialize(_edges(open_, "missing"))
+        located = open_.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        strip = _fitted(located.where("strip = edge").withColumn("room", F.col("missing") - F.col("before")))
+        taken = materialize(strip.where("picked = 1").select("at", "source", "size").unionByName(
+            located.where("edge is null or strip < edge").select("at", "source", "size")))
+        used = taken.groupBy(F.col("source").alias("by")).agg(F.sum("size").alias("used"))
+        left = materialize(left.join(used, F.col("of").eqNullSafe(F.col("by")), "left").select(
+            "of", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
+        taken = taken.select("at")
+        further = taken if further is None else further.unionByName(taken)
+
+    near = near.drop("left", "room")
+    if further is not None:
+        further = materialize(further.withColumn("fits", F.lit(1)))
+        near, rest = (x.join(further, "at", "left").withColumn("picked", F.coalesce("fits", "picked").cast("long")).drop("fits")
+                      for x in (near, rest))
     # one more document, the smallest, if that comes nearer than none
+    near = near.join(left, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     smallest = F.row_number().over(Window.partitionBy("source").orderBy("picked", "size", "q", "doc_id")) == 1
     nearer = smallest & (F.col("picked") == 0) & (2 * F.col("left") > F.col("size"))
     near = near.withColumn("picked", F.when(nearer, 1).otherwise(F.col("picked")))
