@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from datasets import SF_MID
 from tidemark.plans.analyses import analyses
 from tidemark.plans.catalog import BRONZE_TABLES, TPCH_PARAMS
 from tidemark.sources.tpch import tpch_tables

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -84,7 +84,7 @@ def test_ranking_queries_multi_bucket(spark, duck, key):
 
 @pytest.fixture(scope="module")
 def duck_mid():
-    from conftest import SF_MID
+    from datasets import SF_MID
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_MID}/{t}.parquet')")
@@ -95,7 +95,7 @@ def duck_mid():
 def test_query_matches_oracle_sf001(spark, duck_mid, key):
     """The driver's correctness gate runs at sf0.01: same check there."""
     from __spark_entry__ import oracle_sql, queries
-    from conftest import SF_MID
+    from datasets import SF_MID
     df = queries()[key](spark, SF_MID)
     rows = [tuple(r) for r in df.collect()]
     res = duck_mid.execute(oracle_sql()[key])

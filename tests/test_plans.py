@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 
 
 def plan(df) -> str:

@@ -71,7 +71,7 @@ def test_first_event_ties_and_nulls(spark):
 @pytest.mark.parametrize("parts", [1, 4, 64])
 def test_results_stable_across_shuffle_partitions(spark, parts):
     from __spark_entry__ import queries
-    from conftest import SF_SMALL
+    from datasets import SF_SMALL
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:

@@ -175,7 +175,7 @@ def test_spend_tiers_ties_and_fewer_rows_than_tiles(fx):
 def test_driver_fixture_values(spark):
     """Check values recorded for the driver tables at sf0.01."""
     from __spark_entry__ import queries
-    from conftest import SF_MID
+    from datasets import SF_MID
     q = queries()
     b = q["counterfactual_bound_since_2001"](spark, SF_MID).first()
     assert (b.exposed, b.recovered, b.non_returners) == (169, 1.91, 396)
@@ -272,14 +272,14 @@ def test_hot_person_holds_a_third_of_orders(spark):
                                        ("repeat_buyers", "pct_of_revenue", 2)])
 def test_shares_sum_to_100(spark, key, col, n):
     from __spark_entry__ import queries
-    from conftest import SF_MID
+    from datasets import SF_MID
     vals = [r[col] for r in queries()[key](spark, SF_MID).collect()]
     assert len(vals) <= n and abs(sum(vals) - 100) <= 0.005 * n + 1e-9
 
 
 def test_exposure_partitions_persons_with_a_delivery(spark):
     from __spark_entry__ import queries
-    from conftest import SF_MID
+    from datasets import SF_MID
     q = queries()
     persons = q["first_delivered_order"](spark, SF_MID).count()
     e = q["delivery_return_rate"](spark, SF_MID).collect()
@@ -289,7 +289,7 @@ def test_exposure_partitions_persons_with_a_delivery(spark):
 
 
 def test_delay_distribution_approx_option(spark):
-    from conftest import SF_MID
+    from datasets import SF_MID
     from tidemark.sources.tpch import tpch_tables
     t = tpch_tables(spark, SF_MID)
     exact = dlv.delay_distribution(t.orders).first()
