@@ -69,6 +69,12 @@ def op10_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash_dedup import groups
+    return groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -77,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_weak_supervision_pii, op2_token_files, op3_window_entropy_secrets, op4_pareto_mix, op5_superminhash_dedup,
                             op6_line_frequency, op7_rarest_token_rules, op8_uniform_shards, op9_content_sort,
-                            op10_grouping_genetic, pipeline)
+                            op10_grouping_genetic, op11_vantage_simhash, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
