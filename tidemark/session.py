@@ -113,15 +113,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table in the application's
     part of the shared folder and reading it back.
 
     Used where one intermediate feeds several jobs, so that the upstream joins
     and shuffles run once.  The files outlive any executor; Parquet gives
     columnar reads and a count from footers.  Never a local checkpoint.
+    ``options`` go to the Parquet writer.
     """
     path = f"{application_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
