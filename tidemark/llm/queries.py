@@ -75,6 +75,14 @@ def op11_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_alignment import align, pair_counts, scored
+    aligned = align(table(spark, sf_dir, "documents"))
+    return scored(aligned, pair_counts(aligned)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -83,7 +91,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_weak_supervision_pii, op2_token_files, op3_window_entropy_secrets, op4_pareto_mix, op5_superminhash_dedup,
                             op6_line_frequency, op7_rarest_token_rules, op8_uniform_shards, op9_content_sort,
-                            op10_grouping_genetic, op11_vantage_simhash, pipeline)
+                            op10_grouping_genetic, op11_vantage_simhash,
+                            op12_merge_path_alignment, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
