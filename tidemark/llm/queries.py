@@ -83,6 +83,11 @@ def op12_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
 
 
+def op13_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.collocations import best, phrases
+    return best(phrases(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -92,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_weak_supervision_pii, op2_token_files, op3_window_entropy_secrets, op4_pareto_mix, op5_superminhash_dedup,
                             op6_line_frequency, op7_rarest_token_rules, op8_uniform_shards, op9_content_sort,
                             op10_grouping_genetic, op11_vantage_simhash,
-                            op12_merge_path_alignment, pipeline)
+                            op12_merge_path_alignment, op13_stripes_collocations, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -227,6 +232,35 @@ ORACLES: dict[str, str] = {
         SELECT page_id, host, path, rule, coalesce(best.verdict, hit.v, 'allow') AS verdict,
                CASE WHEN rule IS NULL THEN hit.p END AS pattern
         FROM h LEFT JOIN best USING (page_id) LEFT JOIN hits USING (page_id)""",
+    "op13_stripes_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\n-\\r]')) AS piece FROM documents),
+        held AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS words FROM pieces),
+        sizes AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM held GROUP BY lang),
+        grams AS (
+            SELECT lang, words[i:i + k - 1] AS p, count(*) AS f
+            FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM held, range(1, 6) t(k))
+            GROUP BY ALL HAVING count(*) >= 100),
+        candidates AS (SELECT lang, p, f AS a FROM grams WHERE len(p) > 1),
+        inside AS (
+            SELECT lang, p[i:i + k - 1] AS p, max(a) AS longer
+            FROM (SELECT lang, p, a, k, unnest(range(1, len(p) - k + 2)) AS i FROM candidates, range(2, 5) t(k) WHERE len(p) > k)
+            GROUP BY ALL),
+        own AS (
+            SELECT c.* FROM candidates c LEFT JOIN inside i ON c.lang = i.lang AND c.p = i.p WHERE 100 * coalesce(longer, 0) < 100 * a),
+        cuts AS (SELECT *, unnest(range(1, len(p))) AS cut FROM own),
+        scores AS (
+            SELECT cuts.lang, cuts.p, a, cut, x.f AS l, y.f AS r, n,
+                   (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+            FROM cuts JOIN sizes ON cuts.lang = sizes.lang
+            JOIN grams x ON x.lang = cuts.lang AND x.p = cuts.p[:cut] JOIN grams y ON y.lang = cuts.lang AND y.p = cuts.p[cut + 1:]),
+        lowest AS (
+            SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM scores
+            QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+               phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM lowest QUALIFY rank <= 2000""",
     "op9_content_sort": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
