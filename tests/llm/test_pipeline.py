@@ -77,7 +77,7 @@ def test_near_stage_takes_five_words_and_four_fifths(spark):
 def test_queries_are_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == [n for n in queries.QUERIES if n != "pipeline"] and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
