@@ -32,6 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.selection import ntile_by_cuts
 from tidemark.session import materialize
 
 RANK = "_rank"
@@ -141,9 +142,18 @@ def ntile_of_rank(rank: str | Column, n: int, k: int) -> Column:
     return F.when(r <= F.lit(big), first).otherwise(rest).cast("bigint")
 
 
+MOST_CUTS = 64  # tiles that are told apart by comparing with their last rows
+
+
 def ntile_desc(df: DataFrame, value: str, key: str, k: int, alias: str = "tile",
-               **kw) -> DataFrame:
-    """Exact distributed ``NTILE(k) OVER (ORDER BY value DESC, key)``."""
+               sample: int | None = None, **kw) -> DataFrame:
+    """Exact distributed ``NTILE(k) OVER (ORDER BY value DESC, key)``.
+
+    Up to ``MOST_CUTS`` tiles come from the rows that end them
+    (:mod:`tidemark.operators.selection`): no sort, no table.  For more of
+    them every row is ranked."""
+    if k <= MOST_CUTS:
+        return ntile_by_cuts(df, value, key, k, alias, sample)
     ranked, n = rank_desc(df, value, key, running=False, **kw)
     if n == 0:
         return df.withColumn(alias, F.lit(None).cast("bigint"))

@@ -16,7 +16,9 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -75,6 +77,8 @@ def application_dir(spark: SparkSession) -> str:
     return path
 
 
+HELD = 8  # frames that executors keep at a time
+_KEPT: list[DataFrame] = []
 _OWN: set[str] = set()
 _WRITTEN: list[str] = []  # tables written on the way, in order
 _UNSET: dict[str, str] = {}  # local runs without the setting, by application
@@ -113,6 +117,32 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept by the executors (memory, else their disk)
+    while several jobs read it.
+
+    Nothing depends on the kept copy: blocks that are lost with an executor, or
+    let go, are computed again from the sources.  The last ``HELD`` frames are kept,
+    earlier ones are let go.  A column of its own keeps the copy from standing in
+    for an equal plan of a later query, whose files may have changed.
+    """
+    tag = "_held"
+    while tag in df.columns:
+        tag = f"_{tag}"
+    kept = df.withColumn(tag, F.lit(uuid.uuid4().hex)).persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(kept)
+    while len(_KEPT) > HELD:
+        let_go(_KEPT.pop(0))
+    return kept.drop(tag)
+
+
+def let_go(df: DataFrame) -> None:
+    try:
+        df.unpersist()
+    except (OSError, Py4JError):  # its session has ended
+        pass
+
+
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table in the application's
     part of the shared folder and reading it back.

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -59,8 +60,20 @@ class Tables:
         return Tables(b)
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A Parquet table.  Footers are read for its schema only if the path's
+    status (time, length) isn't the one seen before; files are listed each time."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at)
+    seen = (path, status.getModificationTime(), status.getLen())
+    if seen not in _SCHEMAS:
+        _SCHEMAS[seen] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[seen]).parquet(path)
 
 
 def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
