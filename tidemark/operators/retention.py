@@ -14,7 +14,7 @@ Delay NULL (no estimate) is ``not_late`` here, unlike the four-way bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import delay_days, late_flag, pct, ratio, round_half
@@ -43,48 +43,103 @@ def returned_flag(customers: DataFrame, orders: DataFrame, min_orders: int = 2)
         PERSON, (F.col("order_count") >= min_orders).cast("int").alias("returned"))
 
 
-def _exposed(customers: DataFrame, orders: DataFrame, strata: list[str], min_orders: int) -> DataFrame:
-    """person, strata…, delay_days, delivery_bucket, returned — exposure and
-    outcome in one pass.
+_ID_RANGE = 10 ** 20  # over twice the largest integer id
 
-    Equivalent to joining :func:`first_delivered` to :func:`returned_flag`
-    on the person, but orders are scanned and joined to customers once: a
-    single person-level aggregate takes the distinct order count (all
-    statuses) and ``min_by`` of the delivery payload ordered by
-    (purchase time nulls last, order id) over delivered orders only
-    (undelivered rows carry a NULL ordering key, which ``min_by`` skips).
-    Persons without a delivered order are dropped, as the inner join does.
+
+def packed_order(time: str, order_id: str, time_type: str) -> Column:
+    """(purchase time ascending NULLS LAST, integer order id ascending) as one
+    decimal(38, 0): microseconds in the upper 18 digits, the id in the lower 20.
+    Aggregates that compare it keep fixed-width buffers, so they stay hash aggregates."""
+    if time_type == "timestamp_ntz":  # without a time zone's gaps and repeated hours
+        micros = (f"unix_date(cast({time} as date)) * 86400000000L + (hour({time}) * 3600 + minute({time}) * 60) * 1000000L"
+                  f" + cast(extract(second from {time}) * 1000000 as bigint)")
+    elif time_type == "date":
+        micros = f"unix_date({time}) * 86400000000L"
+    else:
+        micros = f"unix_micros({time})"
+    place = f"coalesce({micros}, 999999999999999999L)"
+    return F.expr(f"cast({place} as decimal(18, 0)) * cast({_ID_RANGE} as decimal(21, 0))"
+                  f" + (cast({order_id} as decimal(19, 0)) + cast(9223372036854775808 as decimal(19, 0)))").cast("decimal(38,0)")
+
+
+def person_table(customers: DataFrame, orders: DataFrame, payload: dict[str, Column] | None = None,
+                 min_orders: int = 2) -> DataFrame:
+    """person, delay_days, returned and ``payload`` columns (fixed-width values
+    of customers, as on the record of the first delivered order) — exposure and
+    outcome in one pass over orders.
+
+    Equivalent to joining :func:`first_delivered` to :func:`returned_flag`, but orders
+    are scanned and joined to customers once: one person-level aggregate takes the distinct
+    order count (all statuses) and, ordered by (purchase time, order id), the first
+    delivered order's values.  With integer order ids that order is one number
+    (:func:`packed_order`), every buffer has a fixed width and the aggregate
+    hashes; text ids are compared as a struct, which sorts.  Undelivered orders have a NULL
+    place, which ``min_by`` skips; persons without a delivered order are dropped.
     """
-    strata = list(strata)
-    j = (customers.select("customer_id", PERSON, *strata)
+    payload = payload or {}
+    j = (customers.select("customer_id", PERSON, *[c.alias(n) for n, c in payload.items()])
          .join(orders.select("order_id", "customer_id", PURCHASE, DELIVERED, ESTIMATED), "customer_id"))
-    first_key = F.when(F.col(DELIVERED).isNotNull(), F.struct(
-        F.col(PURCHASE).isNull().cast("int").alias("k0"), F.col(PURCHASE).alias("k1"),
-        F.col("order_id").alias("k2")))
-    payload = F.struct(delay_days(DELIVERED, ESTIMATED).alias("delay_days"), *[F.col(c) for c in strata])
-    per = j.groupBy(PERSON).agg(F.countDistinct("order_id").alias("_n"),
-                                F.min_by(payload, first_key).alias("_first"))
-    return (per.where(F.col("_first").isNotNull())
-            .select(PERSON, "_first.*", (F.col("_n") >= min_orders).cast("int").alias("returned"))
-            .withColumn("delivery_bucket", late_flag()))
+    types = dict(orders.dtypes)
+    if types["order_id"] in ("tinyint", "smallint", "int", "bigint"):
+        place = packed_order(PURCHASE, "order_id", types[PURCHASE])
+    else:
+        place = F.struct(F.col(PURCHASE).isNull().alias("k0"), F.col(PURCHASE).alias("k1"), F.col("order_id").alias("k2"))
+    place = F.when(F.col(DELIVERED).isNotNull(), place)
+    per = (j.withColumn("_place", place).withColumn("_delay", delay_days(DELIVERED, ESTIMATED))
+           .groupBy(PERSON).agg(F.countDistinct("order_id").alias("_n"), F.min("_place").alias("_first"),
+                                *[F.min_by(c, "_place").alias(n) for c, n in (("_delay", "delay_days"), *((n, n) for n in payload))]))
+    return per.where(F.col("_first").isNotNull()).select(
+        PERSON, "delay_days", *payload, (F.col("_n") >= min_orders).cast("int").alias("returned"))
+
+
+def exposure_cells(customers: DataFrame, orders: DataFrame, strata: str | None = "customer_state",
+                   min_orders: int = 2) -> DataFrame:
+    """(stratum,) delivery_bucket, customers, returners: the person table
+    folded to its cells.  All strata, rates and bounds below are sums of these few rows.
+
+    Persons carry a hash of their stratum through the aggregate; names come
+    back to the cells, which are as many as there are strata (times two)."""
+    if strata is None:
+        return _cells(person_table(customers, orders, min_orders=min_orders), [])
+    code = F.xxhash64(strata)
+    names = customers.select(strata, code.alias("_code")).distinct()
+    cells = _cells(person_table(customers, orders, {"_code": code}, min_orders), ["_code"])
+    return cells.join(names, "_code").select(strata, "delivery_bucket", "customers", "returners")
+
+
+def _cells(persons: DataFrame, keys: list[str]) -> DataFrame:
+    return persons.groupBy(*keys, late_flag().alias("delivery_bucket")).agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("returned").cast("bigint").alias("returners"))
+
+
+def exposure_rollup(customers: DataFrame, orders: DataFrame, region_map: DataFrame | None = None,
+                    state: str = "customer_state", min_orders: int = 2) -> DataFrame:
+    """Return rates of every level from one pass: state, region and total per
+    late flag.  ``level`` tells them apart; columns above a level are NULL."""
+    cells = _with_region(exposure_cells(customers, orders, state, min_orders), region_map, state)
+    level = F.when(F.grouping("region") == 1, "total").when(F.grouping(state) == 1, "region").otherwise("state")
+    return (cells.groupingSets([["delivery_bucket", "region", state], ["delivery_bucket", "region"], ["delivery_bucket"]],
+                               "delivery_bucket", "region", state)
+            .agg(level.alias("level"), F.sum("customers").alias("customers"), F.sum("returners").alias("returners"))
+            .select("level", "region", state, "delivery_bucket", "customers", "returners",
+                    pct("returners", "customers").alias("return_rate_pct")))
 
 
 def cell_sizes(customers: DataFrame, orders: DataFrame, strata: str = "customer_state") -> DataFrame:
     """First delivered orders per stratum × late flag."""
-    first = first_delivered(customers, orders, [strata])
-    return (first.groupBy(strata, late_flag().alias("delivery_bucket"))
-            .agg(F.count(F.lit(1)).alias("first_orders")).orderBy(strata, "delivery_bucket"))
+    return (exposure_cells(customers, orders, strata)
+            .select(strata, "delivery_bucket", F.col("customers").alias("first_orders")).orderBy(strata, "delivery_bucket"))
 
 
 def thin_cells(cells: DataFrame, floor: int = 30, strata: str = "customer_state") -> DataFrame:
     """Share of stratum × flag cells below ``floor`` first orders.  Empty
-    cells count (the grid is densified with an explode, not a cross join)."""
-    grid = (cells.select(strata).distinct()
-            .withColumn("delivery_bucket", F.explode(F.array(F.lit("late"), F.lit("not_late")))))
-    dense = grid.join(cells, [strata, "delivery_bucket"], "left").select(
-        F.coalesce("first_orders", F.lit(0)).alias("n"))
-    return (dense.agg(F.count(F.lit(1)).alias("cells"),
-                      F.sum((F.col("n") < floor).cast("bigint")).alias("thin"))
+    cells count: each stratum has two, taken side by side from one aggregate."""
+    def size(flag: str) -> Column:
+        return F.sum(F.when(F.col("delivery_bucket") == flag, F.col("first_orders")).otherwise(F.lit(0)))
+
+    per = cells.groupBy(strata).agg(size("late").alias("_l"), size("not_late").alias("_n"))
+    thin = (F.col("_l") < floor).cast("bigint") + (F.col("_n") < floor).cast("bigint")
+    return (per.agg((F.count(F.lit(1)) * 2).alias("cells"), F.sum(thin).alias("thin"))
             .withColumn("thin_pct", pct("thin", "cells")))
 
 
@@ -104,10 +159,8 @@ def _with_region(customers: DataFrame, region_map: DataFrame | None, state: str)
 def stratified_counts(customers: DataFrame, orders: DataFrame, region_map: DataFrame | None = None,
                       state: str = "customer_state", min_orders: int = 2) -> DataFrame:
     """region, delivery_bucket, customers, returners (raw counts)."""
-    c = _with_region(customers, region_map, state)
-    return (_exposed(c, orders, ["region"], min_orders)
-            .groupBy("region", "delivery_bucket")
-            .agg(F.count(F.lit(1)).alias("customers"), F.sum("returned").cast("bigint").alias("returners")))
+    cells = _with_region(exposure_cells(customers, orders, state, min_orders), region_map, state)
+    return cells.groupBy("region", "delivery_bucket").agg(F.sum("customers").alias("customers"), F.sum("returners").alias("returners"))
 
 
 def stratified_rate(customers: DataFrame, orders: DataFrame, region_map: DataFrame | None = None,
@@ -120,10 +173,7 @@ def stratified_rate(customers: DataFrame, orders: DataFrame, region_map: DataFra
 
 def exposure_rate(customers: DataFrame, orders: DataFrame, min_orders: int = 2) -> DataFrame:
     """Return rate and returners per late flag, all regions together."""
-    e = _exposed(customers, orders, [], min_orders)
-    return (e.groupBy("delivery_bucket")
-            .agg(F.count(F.lit(1)).alias("customers"), F.sum("returned").cast("bigint").alias("returners"))
-            .withColumn("return_rate_pct", pct("returners", "customers")))
+    return exposure_cells(customers, orders, None, min_orders).withColumn("return_rate_pct", pct("returners", "customers"))
 
 
 def _by_flag(df: DataFrame, keys: list[str]) -> DataFrame:

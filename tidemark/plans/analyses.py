@@ -110,6 +110,7 @@ def retention_analyses(p: Params) -> dict[str, Callable[[Tables], DataFrame]]:
     return {
         "region_return_rate": lambda t: ret.stratified_rate(t.customers, t.orders, t.region_map,
                                                             min_orders=p.min_orders),
+        "exposure_rollup": lambda t: ret.exposure_rollup(t.customers, t.orders, t.region_map, min_orders=p.min_orders),
         "region_gap": lambda t: ret.stratum_gap(ret.stratified_counts(t.customers, t.orders, t.region_map,
                                                                       min_orders=p.min_orders)),
         "delivery_return_rate": lambda t: ret.exposure_rate(t.customers, t.orders, p.min_orders),
