@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from tidemark.operators import delivery as dlv
 from tidemark.operators import series as ser
 from tidemark.plans.analyses import Params, analyses, retention_analyses
-from tidemark.sources.bronze import row_counts, to_bronze
+from tidemark.schema import BRONZE_COLUMNS
+from tidemark.session import fresh_path
+from tidemark.sources.bronze import read_bronze, row_counts, to_bronze, write_raw
+from tidemark.sources.incremental import VERSION, apply_batch, current
+from tidemark.sources.native import load_silver, native_tables
 from tidemark.sources.silver import silver
 from tidemark.sources.tpch import Tables, tpch_tables
 
@@ -27,7 +31,6 @@ TPCH_PARAMS = Params(
     trust_window=("1992-01-01 00:00:00", "2001-08-01 00:00:00"),  # drops the censored last month
     thin_floor=30, pareto_p=80,
     identity_keys=("customer_id", "paired_id"),   # record id vs two-records-per-person id
-    geo_avg=("geolocation_lat",),
 )
 YEAR_A, YEAR_B = TPCH_PARAMS.year_a, TPCH_PARAMS.year_b
 MATCHED_MONTHS = TPCH_PARAMS.matched_months
@@ -39,21 +42,10 @@ PARETO_P = TPCH_PARAMS.pareto_p
 RETURN_SINCE = "2001-01-01 00:00:00"  # analysis window where return is not near-universal
 
 # bronze/silver tables on the driver data: canonical name -> (binding attr, columns)
-BRONZE_TABLES: dict[str, tuple[str, list[str]]] = {
-    "orders": ("orders", ["order_id", "customer_id", "order_status", "order_purchase_timestamp",
-                          "order_delivered_customer_date", "order_estimated_delivery_date"]),
-    "order_items": ("items", ["order_id", "order_item_id", "product_id", "seller_id",
-                              "shipping_limit_date", "price", "freight_value"]),
-    "order_payments": ("payments", ["order_id", "payment_sequential"]),
-    "order_reviews": ("reviews", ["review_id", "order_id", "review_score", "review_creation_date"]),
-    "products": ("products", ["product_id", "product_category_name"]),
-    "customers": ("customers", ["customer_id", "customer_unique_id", "customer_zip_code_prefix",
-                                "customer_city", "customer_state"]),
-    "sellers": ("sellers", ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"]),
-    "geolocation": ("geolocation", ["geolocation_zip_code_prefix", "geolocation_lat",
-                                    "geolocation_city", "geolocation_state"]),
-    "category_translation": ("translation", ["product_category_name", "product_category_name_english"]),
-}
+ATTRIBUTES = {"orders": "orders", "order_items": "items", "order_payments": "payments", "order_reviews": "reviews",
+              "products": "products", "customers": "customers", "sellers": "sellers", "geolocation": "geolocation",
+              "category_translation": "translation"}
+BRONZE_TABLES: dict[str, tuple[str, list[str]]] = {t: (ATTRIBUTES[t], cols) for t, cols in BRONZE_COLUMNS.items()}
 
 
 def bronze_of(t: Tables, table: str) -> DataFrame:
@@ -76,7 +68,45 @@ def _q(fn: Callable[[Tables], DataFrame], since: bool = False):
 
 
 def _bronze(table):
-    return _q(lambda t: bronze_of(t, table))
+    """The raw CSV export of the table, read again."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = fresh_path(spark, f"raw-{table}")
+        attr, cols = BRONZE_TABLES[table]
+        write_raw(getattr(tpch_tables(spark, sf_dir), attr).select(*cols), path)
+        raw = read_bronze(spark, path, table)
+        return raw.select([F.coalesce(c, F.lit("")).alias(c) for c in raw.columns])
+    return run
+
+
+def export_raw(spark: SparkSession, sf_dir: str) -> str:
+    """All nine raw CSV exports, in a folder of the application."""
+    root, t = fresh_path(spark, "raw"), tpch_tables(spark, sf_dir)
+    for table, (attr, cols) in BRONZE_TABLES.items():
+        write_raw(getattr(t, attr).select(*cols), f"{root}/{table}.csv")
+    return root
+
+
+def load_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV exports loaded into silver; control totals as measured by the load."""
+    return load_silver(spark, export_raw(spark, sf_dir), fresh_path(spark, "silver"))
+
+
+def raw_to_category_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw CSV exports through silver to an answer."""
+    silver_root = fresh_path(spark, "silver")
+    load_silver(spark, export_raw(spark, sf_dir), silver_root)
+    return analyses(TPCH_PARAMS)["category_pareto"](native_tables(spark, silver_root))
+
+
+def silver_orders_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in three deliveries: all of them, a correction of every third
+    order's status, and the first delivery over again, which changes nothing."""
+    path = fresh_path(spark, "silver-orders")
+    first = bronze_of(tpch_tables(spark, sf_dir), "orders")
+    fixed = first.where(F.col("order_id").cast("bigint") % 3 == 0).withColumn("order_status", F.lit("corrected"))
+    for batch, (rows, version) in enumerate([(first, 1), (fixed, 2), (first, 1)]):
+        apply_batch(rows.withColumn(VERSION, F.lit(version)), batch, "orders", path)
+    return current(spark, path)
 
 
 def _silver(table):
@@ -89,8 +119,10 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for table in BRONZE_TABLES:
         q[f"bronze_{table}"] = _bronze(table)
     for table in ["orders", "order_items", "order_payments", "order_reviews", "products",
-                  "customers", "sellers", "category_translation"]:
+                  "customers", "sellers", "geolocation", "category_translation"]:
         q[f"silver_{table}"] = _silver(table)
+    for fn in (load_totals, raw_to_category_pareto, silver_orders_incremental):
+        q[fn.__name__] = fn
     q["row_counts"] = _q(lambda t: row_counts({k: bronze_of(t, k) for k in BRONZE_TABLES}))
     for name, fn in analyses(TPCH_PARAMS).items():
         q[name] = _q(fn)

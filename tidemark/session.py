@@ -11,6 +11,7 @@ removed by :func:`release`, at the latest when the driver ends.
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
 import uuid
@@ -112,9 +113,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     try:
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
-    except (OSError, Py4JError):  # the JVM has gone before the driver's Python
-        pass
+        conf = spark._jsparkSession.sessionState().newHadoopConf()  # with spark.hadoop.* settings
+        target.getFileSystem(conf).delete(target, True)
+    except (OSError, Py4JError) as e:  # at the latest moment the JVM may have gone before the driver's Python
+        logging.getLogger(__name__).warning("%s was not removed: %s", path, type(e).__name__)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the application's part of the shared folder."""
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -152,7 +161,6 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     columnar reads and a count from footers.  Never a local checkpoint.
     ``options`` go to the Parquet writer.
     """
-    path = f"{application_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = fresh_path(df.sparkSession, "table")
     df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

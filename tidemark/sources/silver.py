@@ -39,13 +39,14 @@ def silver(table: str, bronze: DataFrame, reject: bool = False):
             cols.append(_blank_null(c).alias(c) if c in blanks else F.col(c))
             continue
         typ, guarded = spec[c]
-        typed = F.expr(f"try_cast(NULLIF(TRIM(`{c}`), '') AS {typ})")
-        wrong = typed.isNull() & _blank_null(c).isNotNull()
+        # money is parsed once, wide; narrowing it shows a value that the type can't hold or that has more places
+        parsed = F.expr(f"try_cast(NULLIF(TRIM(`{c}`), '') AS {'decimal(38,18)' if typ == MONEY else typ})")
+        typed = parsed.try_cast(typ) if typ == MONEY else parsed
+        wrong = parsed.isNull() & _blank_null(c).isNotNull()
         if not guarded:  # a blank is an error too
-            wrong = typed.isNull()
-        if typ == MONEY:  # more places than the type keeps
-            exact = F.expr(f"try_cast(NULLIF(TRIM(`{c}`), '') AS decimal(38,18))")
-            wrong = wrong | (typed.isNotNull() & ~F.coalesce(exact == typed, F.lit(False)))
+            wrong = parsed.isNull()
+        if typ == MONEY:
+            wrong = wrong | (parsed.isNotNull() & ~F.coalesce(typed == parsed, F.lit(False)))
         if reject:
             bad.append(wrong)
         else:

@@ -14,7 +14,8 @@ arithmetic so both the Spark plans and the SQL oracle see the same rows:
 * state = nation name, macro-region = region name;
   ``paired_id`` (two customer records per person) drives the identity check;
 * payments: one per order, a second when key mod 3 = 0;
-  reviews: one per order, created purchase + (key mod 41) days;
+  reviews: one per order, created purchase + (key mod 41) days, with quotes and
+  line ends in the message; measures of products and coordinates from keys and sizes;
 * geolocation points: customers with nation as the zip prefix.
 """
 
@@ -94,6 +95,9 @@ def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
                    "ELSE o_orderdate + (o_orderkey % 30) * INTERVAL '1' DAY END")
              .alias("order_delivered_customer_date"),
             F.expr("o_orderdate + INTERVAL '21' DAY").alias("order_estimated_delivery_date"),
+            F.expr("o_orderdate + (o_orderkey % 3) * INTERVAL '1' DAY").alias("order_approved_at"),
+            F.expr("CASE WHEN o_orderstatus = 'P' THEN NULL "
+                   "ELSE o_orderdate + (o_orderkey % 15) * INTERVAL '1' DAY END").alias("order_delivered_carrier_date"),
         )
 
     def items():
@@ -128,15 +132,24 @@ def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return r("part").select(
             F.col("p_partkey").alias("product_id"),
             F.expr("NULLIF(p_brand, 'Brand#11')").alias("product_category_name"),
+            F.length("p_name").alias("product_name_lenght"),
+            F.length("p_type").alias("product_description_lenght"),
+            F.expr("NULLIF(p_size % 6, 0)").alias("product_photos_qty"),
+            F.col("p_retailprice").cast("decimal(18,2)").alias("product_weight_g"),
+            F.col("p_size").cast("decimal(18,2)").alias("product_length_cm"),
+            F.expr("CAST(NULLIF(p_size % 4, 0) AS decimal(18,2))").alias("product_height_cm"),
+            F.expr("CAST(p_size + 1 AS decimal(18,2))").alias("product_width_cm"),
         )
 
     def payments():
         o = r("orders")
         # a derivation, not a subset: every order keeps its first payment row,
         # and every third order gets a second one (the multi-payment fan-out)
-        first_pay = o.select(F.col("o_orderkey").alias("order_id"), F.lit(1).alias("payment_sequential"))
-        second_pay = (o.where(F.col("o_orderkey") % 3 == 0)
-                      .select(F.col("o_orderkey").alias("order_id"), F.lit(2).alias("payment_sequential")))
+        held = [F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("payment_type"),
+                (1 + F.col("o_orderkey") % 10).cast("int").alias("payment_installments"),
+                F.col("o_totalprice").cast("decimal(18,2)").alias("payment_value")]
+        first_pay = o.select(*held, F.lit(1).alias("payment_sequential"))
+        second_pay = o.where(F.col("o_orderkey") % 3 == 0).select(*held, F.lit(2).alias("payment_sequential"))
         return first_pay.unionByName(second_pay)
 
     def reviews():
@@ -145,6 +158,12 @@ def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
             F.col("o_orderkey").alias("order_id"),
             (F.lit(1) + (F.col("o_orderkey") % 7) % 5).cast("int").alias("review_score"),
             F.expr("o_orderdate + (o_orderkey % 41) * INTERVAL '1' DAY").alias("review_creation_date"),
+            F.expr("'no. ' || (o_orderkey % 5)").alias("review_comment_title"),
+            # quotes, commas and line ends, as free text has them
+            F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit(' said "'), F.col("o_orderpriority"), F.lit('",\nthen \\ left ')))
+             .alias("review_comment_message"),
+            F.expr("CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate + (o_orderkey % 41 + 1) * INTERVAL '1' DAY END")
+             .alias("review_answer_timestamp"),
         )
 
     def sellers():
@@ -160,6 +179,7 @@ def tpch_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return r("customer").select(
             F.col("c_nationkey").cast("string").alias("geolocation_zip_code_prefix"),
             F.col("c_acctbal").cast("decimal(18,2)").alias("geolocation_lat"),
+            (F.col("c_custkey") % 360 - 180).cast("decimal(18,2)").alias("geolocation_lng"),
             F.col("c_name").alias("geolocation_city"),
             F.col("c_mktsegment").alias("geolocation_state"),
         )
