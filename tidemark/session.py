@@ -14,6 +14,7 @@ import atexit
 import logging
 import shutil
 import tempfile
+import threading
 import uuid
 
 from py4j.protocol import Py4JError
@@ -81,7 +82,7 @@ def application_dir(spark: SparkSession) -> str:
 HELD = 8  # frames that executors keep at a time
 _KEPT: list[DataFrame] = []
 _OWN: set[str] = set()
-_WRITTEN: list[str] = []  # tables written on the way, in order
+_WRITTEN = threading.local()  # .paths: tables that this thread wrote on the way, in order
 _UNSET: dict[str, str] = {}  # local runs without the setting, by application
 
 
@@ -95,18 +96,25 @@ def release(spark: SparkSession, path: str | None = None) -> None:
     _delete(spark, path)
 
 
+def _paths() -> list[str]:
+    if not hasattr(_WRITTEN, "paths"):
+        _WRITTEN.paths = []
+    return _WRITTEN.paths
+
+
 def written() -> int:
-    """How many tables have been written on the way so far."""
-    return len(_WRITTEN)
+    """How many tables this thread has written on the way so far."""
+    return len(_paths())
 
 
 def release_between(spark: SparkSession, first: int, last: int) -> None:
-    """Remove the tables that were written on the way between two calls of
+    """Remove the tables that this thread wrote on the way between two calls of
     :func:`written`, when all that reads them has been written elsewhere."""
+    paths = _paths()
     for k in range(first, last):
-        if _WRITTEN[k]:
-            _delete(spark, _WRITTEN[k])
-            _WRITTEN[k] = ""
+        if paths[k]:
+            _delete(spark, paths[k])
+            paths[k] = ""
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -122,7 +130,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path for a table in the application's part of the shared folder."""
     path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _paths().append(path)
     return path
 
 
@@ -146,6 +154,14 @@ def hold(df: DataFrame) -> DataFrame:
 
 
 def let_go(df: DataFrame) -> None:
+    """End what :func:`hold` keeps, or remove the table that :func:`materialize` wrote:
+    for frames that nothing will read again."""
+    if path := getattr(df, "_table", None):
+        _delete(df.sparkSession, path)
+        paths = _paths()
+        if path in paths:
+            paths[paths.index(path)] = ""
+        return
     try:
         df.unpersist()
     except (OSError, Py4JError):  # its session has ended
@@ -163,4 +179,6 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, "table")
     df.write.mode("overwrite").options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
