@@ -74,6 +74,24 @@ def test_near_stage_takes_five_words_and_four_fifths(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(want)
 
 
+def test_a_run_owns_its_tables(spark, scratch):
+    """Two runs, read in either order, also lazily."""
+    small = "/root/testdata/sf0.001"
+    a, b = pipe.run(spark, small), pipe.run(spark, small)
+    want = sorted(map(tuple, b.select("doc_id", "piece", "length", "ids_crc32").collect()))
+    assert want and sorted(map(tuple, a.select("doc_id", "piece", "length", "ids_crc32").collect())) == want
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_on_odd_rows(spark, odd, empty, kind):
+    docs = odd if kind == "odd" else empty
+    for k, (name, stage) in enumerate(pipe.STAGES):
+        out = materialize(stage(spark, docs, MID))
+        assert k == len(pipe.STAGES) - 1 or out.columns == docs.columns, name
+        assert kind == "odd" or out.count() == 0, name
+        docs = out if k < len(pipe.STAGES) - 1 else docs
+
+
 def test_queries_are_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == [n for n in queries.QUERIES if n != "pipeline"] and "pipeline" in names

@@ -18,9 +18,10 @@ intersection >= ``threshold`` % of union.  A group is a connected component.
    steps.
 5. Members of a bucket that are in different components by then may still be
    linked.  Buckets that hold several components are cut into blocks of
-   ``SIDE`` members; a task compares two blocks, signatures first and full
-   shingle sets where these agree, each pair in the first bucket it shares,
-   and passes on only links that join components.  So no link between texts
+   ``SIDE`` members; a task compares two blocks by signatures, each pair in the first
+   bucket it shares.  Only members with a partner to be verified get their
+   shingle sets, in that bucket; tasks compare the blocks again and pass on
+   only links that join components.  So no link between texts
    that share a bucket is lost, whatever the centres were, and no pairs are
    written out.
 
@@ -50,7 +51,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import clear_name, numbered
 from tidemark.llm.tokens import blocks
-from tidemark.session import materialize
+from tidemark.session import let_go, materialize
 
 SHINGLE = 3
 THRESHOLD = 85
@@ -197,7 +198,7 @@ def _linked(batches: Iterator[pa.RecordBatch], size: int, threshold: int) -> Ite
         yield pairs.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
 
-_MEMBER = ("rep", "component", "n_shingles", "sig", "bands", "held")
+_MEMBER = ("rep", "component", "n_shingles", "sig", "bands")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -212,10 +213,41 @@ def _side(members: pa.ListScalar, n_bands: int) -> dict[str, np.ndarray | list]:
     out = {k: m.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("rep", "component", "n_shingles")}
     out["sig"] = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(-1, n_bands * BAND)
     out["bands"] = m.field("bands").flatten().to_numpy().reshape(-1, n_bands)
-    out["held"] = [np.frombuffer(x, np.uint64) for x in m.field("held").to_pylist()]
+    if m.type.get_field_index("held") >= 0:
+        out["held"] = [np.frombuffer(x, np.uint64) for x in m.field("held").to_pylist()]
     return out
 
 
+def _hits(x: dict, k: int, y: dict, band: int, threshold: int, least: int) -> np.ndarray:
+    """Members of ``y`` in another component that member ``k`` of ``x`` may be linked with by
+    sizes and signatures, and shares no bucket with before this one."""
+    n, m = x["n_shingles"][k], y["n_shingles"]
+    same = y["bands"] == x["bands"][k]
+    first = x["bands"][k][same.argmax(axis=1)] == band  # pairs are judged in the first bucket they share
+    return np.flatnonzero(first & (y["component"] != x["component"][k])
+                          & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
+                          & ((y["sig"] == x["sig"][k]).sum(axis=1) >= least))
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], threshold: int, n_bands: int) -> Iterator[pa.RecordBatch]:
+    """Two blocks of one bucket, without sets -> the members that have a partner there to be verified."""
+    least = least_agreement(threshold, n_bands * BAND)
+    for batch in batches:
+        bands, reps = [], []
+        for r in range(batch.num_rows):
+            x, y = (_side(batch.column(c)[r], n_bands) for c in ("m_a", "m_b"))
+            band = batch.column("band")[r].as_py()
+            found: set[int] = set()
+            for k in range(len(x["rep"])):
+                hits = _hits(x, k, y, band, threshold, least)
+                if len(hits):
+                    found.add(int(x["rep"][k]))
+                    found.update(y["rep"][hits].tolist())
+            reps += found
+            bands += [band] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(reps, pa.int64())], ["band", "rep"])
+
+
 def _blocks_link(batches: Iterator[pa.RecordBatch], threshold: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     """Two blocks of one bucket -> links between different components, one
     for each two components that meet here."""
@@ -228,11 +260,7 @@ def _blocks_link(batches: Iterator[pa.RecordBatch], threshold: int, n_bands: int
             comp = {c: c for c in (*x["component"].tolist(), *y["component"].tolist())}
             for k in range(len(x["rep"])):
                 n, m = x["n_shingles"][k], y["n_shingles"]
-                same = y["bands"] == x["bands"][k]
-                first = x["bands"][k][same.argmax(axis=1)] == band  # pairs are judged in the first bucket they share
-                hits = np.flatnonzero(first & (y["component"] != x["component"][k])
-                                      & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
-                                      & ((y["sig"] == x["sig"][k]).sum(axis=1) >= least))
+                hits = _hits(x, k, y, band, threshold, least)
                 for h in hits:
                     one, other = comp[int(x["component"][k])], comp[int(y["component"][h])]
                     if one == other:
@@ -270,7 +298,10 @@ def components(links: DataFrame) -> DataFrame:
         chained = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
         if n[0] == n[1] and not chained.take(1):  # every link points to a smallest document
             break
-        edges = star(star(edges, True), False)
+        wide = star(edges, True)
+        let_go(edges)
+        edges = star(wide, False)
+        let_go(wide)
     least = edges.groupBy("a").agg(F.min("b").alias("component_id"))
     return least.select(F.col("a").alias("doc_id"), "component_id").union(
         edges.select("b", "b").distinct())
@@ -297,6 +328,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return whole.mapInArrow(partial(_linked, size=size, threshold=threshold), "a long, b long")
 
 
+def _meetings(members: DataFrame, *columns: str) -> DataFrame:
+    """``band``, ``m_a``, ``m_b``: each two blocks of a bucket, and each block
+    with itself, where it lies; only blocks of a bucket that has several are exchanged."""
+    open_ = materialize(members.groupBy("band", "n", "blk").agg(F.collect_list(F.struct(*columns)).alias("m")))
+    alone = open_.select("band", F.col("m").alias("m_a"), F.col("m").alias("m_b"))
+    several = open_.where(F.col("n") > SIDE)
+    return alone.unionByName(
+        several.select("band", F.col("blk").alias("blk_a"), F.col("m").alias("m_a"))
+        .join(several.select("band", F.col("blk").alias("blk_b"), F.col("m").alias("m_b")), "band")
+        .where("blk_a < blk_b").select("band", "m_a", "m_b"))
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None, size: int = SHINGLE,
                 threshold: int = THRESHOLD, n_bands: int = BANDS) -> DataFrame:
     """``row`` (the given column, else a number), ``doc_id``, ``n_shingles``,
@@ -325,33 +368,36 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     def signatures(side: str) -> DataFrame:
         return reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n_shingles").alias(f"n_{side}"))
 
-    near = materialize(pairs).join(signatures("a"), "a").join(signatures("b"), "b").mapInPandas(
+    pairs = materialize(pairs)
+    near = pairs.join(signatures("a"), "a").join(signatures("b"), "b").mapInPandas(
         partial(_agreeing, threshold=threshold, places=n_bands * BAND), "a long, b long")
     links = materialize(_verified(near, texts, size, threshold))
+    let_go(pairs)
     found = materialize(components(links))
+    let_go(links)
 
     # step 5: buckets that hold several components
     located = members.join(found, F.col("rep") == F.col("doc_id"), "left").select(
         "band", "rep", F.coalesce("component_id", "rep").alias("component"))
     located = materialize(located)
+    let_go(members)
     mixed = located.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
                                         F.max("component").alias("hi")).where("lo < hi").select("band", "n")
     mixed = materialize(mixed)
     members = located.join(mixed, "band").withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SIDE)))
-    held = (texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .mapInArrow(partial(_sets, size=size), "rep long, held binary"))
-    whole = members.join(reps.join(held, "rep"), "rep")
-    open_ = materialize(whole.groupBy("band", "n", "blk").agg(F.collect_list(F.struct(*_MEMBER)).alias("m")))
-    # a block meets itself where it lies; only blocks of a bucket that has several are exchanged
-    alone = open_.select("band", F.col("m").alias("m_a"), F.col("m").alias("m_b"))
-    several = open_.where(F.col("n") > SIDE)
-    meet = alone.unionByName(
-        several.select("band", F.col("blk").alias("blk_a"), F.col("m").alias("m_a"))
-        .join(several.select("band", F.col("blk").alias("blk_b"), F.col("m").alias("m_b")), "band")
-        .where("blk_a < blk_b").select("band", "m_a", "m_b"))
+    may = partial(_may_link, threshold=threshold, n_bands=n_bands)
+    link = partial(_blocks_link, threshold=threshold, n_bands=n_bands)
     with _small_batches(docs.sparkSession):
-        more = materialize(meet.mapInArrow(partial(_blocks_link, threshold=threshold, n_bands=n_bands), "a long, b long"))
-    found = materialize(components(links.unionByName(more))) if more.take(1) else found
+        # by signatures first: a set is wanted in the buckets where its document has a partner, most often one or none
+        wanted = materialize(_meetings(members.join(reps, "rep"), *_MEMBER).mapInArrow(may, "band long, rep long").distinct())
+        if wanted.take(1):
+            held = (texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                    .mapInArrow(partial(_sets, size=size), "rep long, held binary"))
+            whole = members.join(wanted, ["band", "rep"], "left_semi").join(reps.join(held, "rep"), "rep")
+            more = materialize(_meetings(whole, *_MEMBER, "held").mapInArrow(link, "a long, b long"))
+            if more.take(1):  # found groups are stars already
+                stars = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+                found = materialize(components(stars.unionByName(more)))
 
     # a document's component: its class's, by its smallest document
     by_class = materialize(classes.join(found, F.col("rep") == F.col("doc_id"), "left").select(
