@@ -294,9 +294,11 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
-        n = edges.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
-        chained = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
-        if n[0] == n[1] and not chained.take(1):  # every link points to a smallest document
+        # done when every link points to a smallest document: nobody has two links, or is pointed to and points on
+        nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        open_ = nodes.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if not open_.agg(F.max(F.expr("out > 1 or (out > 0 and into > 0)"))).first()[0]:
             break
         wide = star(edges, True)
         let_go(edges)
