@@ -7,8 +7,6 @@ inlines the value, so no join (and no cross join) is planned.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,25 +118,20 @@ def staged_counts(customers: DataFrame, orders: DataFrame, items: DataFrame) ->
 
     One flagged join: customers ⋈ orders, each row marked with whether its
     order has items (a join to the distinct item order ids, so item rows are
-    never multiplied in).  Then one aggregate per order and one per person
-    (each a single shuffle on its key, rather than a four-way distinct
-    ``Expand``), stacked as two rows and folded into one, from which the
-    three result rows are generated — no join between the two.
+    never multiplied in).  Grouping sets then make one row per order and one
+    per person from that join, in one exchange; one aggregate counts both.
+    NULL ids are no orders and no persons.
     """
     with_items = items.select("order_id").distinct().withColumn("_has", F.lit(1))
     reach = (customers.select("customer_id", PERSON)
              .join(orders.select("order_id", "customer_id"), "customer_id")
              .join(with_items, "order_id", "left")
              .withColumn("_has", F.coalesce("_has", F.lit(0))))
-    null = F.lit(None).cast("bigint")
-    per_order = (reach.groupBy("order_id").agg(F.max("_has").alias("_h"))
-                 .agg(F.count(F.lit(1)).alias("o_all"), F.sum("_h").cast("bigint").alias("o_it"))
-                 .select(null.alias("p_all"), null.alias("p_it"), "o_all", "o_it"))
-    per_person = (reach.groupBy(PERSON).agg(F.max("_has").alias("_h"))
-                  .agg(F.count(F.lit(1)).alias("p_all"), F.sum("_h").cast("bigint").alias("p_it"))
-                  .select("p_all", "p_it", null.alias("o_all"), null.alias("o_it")))
-    c = per_person.unionByName(per_order).agg(*[F.max(x).alias(x) for x in ("p_all", "p_it", "o_all", "o_it")])
-    c = c.select(*[F.coalesce(x, F.lit(0)).alias(x) for x in ("p_all", "p_it", "o_all", "o_it")])
+    each = reach.groupingSets([["order_id"], [PERSON]], "order_id", PERSON).agg(F.max("_has").alias("_h"))
+    # in an order's row the person is NULL, and the other way round
+    c = each.agg(*(x for key, alias in ((PERSON, "p"), ("order_id", "o")) for x in (
+        F.count(key).alias(f"{alias}_all"),
+        F.count_if(F.col(key).isNotNull() & (F.col("_h") == 1)).alias(f"{alias}_it"))))
     rows = F.array(
         F.struct(F.lit("reachable").alias("stage"), F.col("p_all").alias("persons"), F.col("o_all").alias("orders")),
         F.struct(F.lit("with_items").alias("stage"), F.col("p_it").alias("persons"), F.col("o_it").alias("orders")),
@@ -166,16 +159,20 @@ def undelivered_preserved(orders: DataFrame,
 def identity_trap(customers: DataFrame, orders: DataFrame,
                   keys: tuple[str, ...] = ("customer_id", PERSON), min_orders: int = 2) -> DataFrame:
     """Repeat rate keyed on each id column side by side: a per-record id
-    fabricates a different retention figure than the per-person id."""
+    fabricates a different retention figure than the per-person id.  Grouping
+    sets count all ids from one join."""
     cols = list(dict.fromkeys(["customer_id", *keys]))
     joined = customers.select(*cols).join(
         orders.select("order_id", "customer_id"), "customer_id")
-    parts = []
-    for k in keys:
-        per = joined.groupBy(k).agg(F.countDistinct("order_id").alias("_n"))
-        parts.append(per.agg(
-            F.count(F.lit(1)).alias("entities"),
-            F.sum((F.col("_n") >= min_orders).cast("bigint")).alias("repeat"))
-            .select(F.lit(k).alias("key_used"), "entities", "repeat",
-                    pct("repeat", "entities").alias("repeat_pct")))
-    return reduce(DataFrame.unionByName, parts)
+    keys = list(dict.fromkeys(keys))
+    per = joined.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("_set"), F.countDistinct("order_id").alias("_n"))
+    # a set's id has a bit for each key that it leaves out, the first key's bit highest
+    own = {k: F.col("_set") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)) for i, k in enumerate(keys)}
+    counts = per.agg(*(x for i, k in enumerate(keys) for x in (
+        F.count_if(own[k]).alias(f"n{i}"),
+        F.sum(F.when(own[k], (F.col("_n") >= min_orders).cast("bigint"))).alias(f"r{i}"))))
+    rows = [F.struct(F.lit(k).alias("key_used"), F.col(f"n{i}").alias("entities"), F.col(f"r{i}").alias("repeat"))
+            for i, k in enumerate(keys)]
+    return (counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            .withColumn("repeat_pct", pct("repeat", "entities")))

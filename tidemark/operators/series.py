@@ -5,7 +5,8 @@ Items are summed per order *before* the join to orders, so the join and
 the monthly shuffle move one row per order instead of one per item.  The
 windows that follow (``LAG``, moving average, running total) run on the
 monthly series — a few hundred rows — where a single-task window is right.
-Windows are ROWS frames: a month with no orders is skipped, not zero-filled.
+Windows are ROWS frames: a month with no orders is skipped, unless the series
+is asked for on a dense calendar (:func:`dense_months`).
 """
 
 from __future__ import annotations
@@ -39,20 +40,68 @@ def _trimmed(series: DataFrame, trim: tuple[str, str, str] | None, stage: str) -
     return series.where(half_open(MONTH, trim[0], trim[1]))
 
 
-def _series(orders, items, trim):
+def dense_months(series: DataFrame, zeros: list[str], by: list[str] | None = None,
+                 month: str = MONTH) -> DataFrame:
+    """``series`` with a row for every month from its first to its last.
+
+    A missing month has 0 in the columns ``zeros`` and NULL in all others.  With
+    ``by``, each combination of those columns has its own first and last month
+    (NULLs are a combination like any other).  The months are generated from
+    the bounds, so no calendar table and no cross join is needed; a series
+    without rows, or a NULL month, adds none.  There must be one row a month and
+    combination.
+    """
+    by = by or []
+    first, last = F.min(month).cast("date"), F.max(month).cast("date")
+    spine = (series.groupBy(*by).agg(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")).alias("_months"))
+             .select(*by, F.explode("_months").alias(month))
+             .withColumn(month, F.col(month).cast(series.schema[month].dataType)))
+    on = F.lit(True)
+    for c in [*by, month]:
+        on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}"))
+    joined = spine.alias("s").join(series.alias("d"), on, "left")
+    return joined.select(*(
+        F.col(f"s.{c}").alias(c) if c in by or c == month
+        else F.coalesce(F.col(f"d.{c}"), F.lit(0).cast(series.schema[c].dataType)).alias(c) if c in zeros
+        else F.col(f"d.{c}").alias(c) for c in series.columns))
+
+
+def _series(orders, items, trim, dense=False):
     window = (trim[0], trim[1]) if trim is not None and trim[2] == "before" else None
-    return monthly_revenue(orders, items, window=window)
+    s = monthly_revenue(orders, items, window=window)
+    return dense_months(s, ["monthly_volume", "revenue"]) if dense else s
+
+
+def idle_months(orders: DataFrame, items: DataFrame, by: str) -> DataFrame:
+    """``by``, first_month, last_month, months, idle_months, longest_idle: for how
+    many months, and for how many in a row, a seller, product, … sold nothing
+    between its first and last sale."""
+    months = (items.select("order_id", by).join(
+        orders.select("order_id", month_of("order_purchase_timestamp").alias(MONTH)), "order_id")
+        .groupBy(by, MONTH).agg(F.count(F.lit(1)).alias("n")))
+    dense = dense_months(months, ["n"], [by])
+    # the months since a sale belong to the run that this sale starts
+    w = Window.partitionBy(by).orderBy(MONTH)
+    runs = dense.withColumn("_run", F.count_if(F.col("n") > 0).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lengths = runs.groupBy(by, "_run").agg(
+        F.min(MONTH).alias("_from"), F.max(MONTH).alias("_to"), F.count_if(F.col("n") == 0).alias("_idle"))
+    return lengths.groupBy(by).agg(
+        F.min("_from").alias("first_month"), F.max("_to").alias("last_month"),
+        (F.count(F.lit(1)) + F.sum("_idle")).alias("months"), F.sum("_idle").alias("idle_months"),
+        F.max("_idle").alias("longest_idle"))
 
 
 def monthly_growth(orders: DataFrame, items: DataFrame,
-                   trim: tuple[str, str, str] | None = None) -> DataFrame:
+                   trim: tuple[str, str, str] | None = None, dense: bool = False) -> DataFrame:
     """month, monthly_volume, revenue, previous_month_revenue, mom_growth_pct.
 
     ``trim=(start, end, "before"|"after")`` restricts to ``[start, end)``
     either before the window functions run (orders outside are never read
-    past the scan) or after (LAG still sees the dropped neighbours).
+    past the scan) or after (LAG still sees the dropped neighbours).  On a
+    ``dense`` calendar a month without orders has revenue 0, and growth from
+    it is NULL.
     """
-    s = _series(orders, items, trim)
+    s = _series(orders, items, trim, dense)
     w = Window.orderBy(MONTH)
     out = (s.withColumn("previous_month_revenue", F.lag("revenue").over(w))
             .withColumn("mom_growth_pct",
@@ -62,10 +111,10 @@ def monthly_growth(orders: DataFrame, items: DataFrame,
 
 
 def moving_average(orders: DataFrame, items: DataFrame, k: int = 3,
-                   trim: tuple[str, str, str] | None = None) -> DataFrame:
+                   trim: tuple[str, str, str] | None = None, dense: bool = False) -> DataFrame:
     """month, revenue, mean over the current and previous k−1 months
     (the first k−1 rows average over the rows that exist)."""
-    s = _series(orders, items, trim)
+    s = _series(orders, items, trim, dense)
     frame = Window.orderBy(MONTH).rowsBetween(-(k - 1), Window.currentRow)
     out = s.withColumn(f"revenue_{k}month_moving_avg",
                        F.sum("revenue").over(frame).cast("double") / F.count("revenue").over(frame))
@@ -73,9 +122,9 @@ def moving_average(orders: DataFrame, items: DataFrame, k: int = 3,
 
 
 def running_total(orders: DataFrame, items: DataFrame,
-                  trim: tuple[str, str, str] | None = None) -> DataFrame:
+                  trim: tuple[str, str, str] | None = None, dense: bool = False) -> DataFrame:
     """month, revenue, cumulative revenue."""
-    s = _series(orders, items, trim)
+    s = _series(orders, items, trim, dense)
     frame = Window.orderBy(MONTH).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = s.withColumn("running_total_revenue", money(F.sum("revenue").over(frame)))
     return _trimmed(out, trim, "after").select(MONTH, "revenue", "running_total_revenue").orderBy(MONTH)

@@ -20,6 +20,7 @@ from tidemark.operators import growth as grw
 from tidemark.operators import quality as qa
 from tidemark.operators import retention as ret
 from tidemark.operators import series as ser
+from tidemark.operators import sketches as sk
 from tidemark.sources.tpch import Tables
 
 
@@ -65,6 +66,10 @@ def analyses(p: Params) -> dict[str, Callable[[Tables], DataFrame]]:
     q["revenue_running_total"] = lambda t: ser.running_total(t.orders, t.items)
     q["revenue_reconcile"] = lambda t: qa.reconcile(ser.running_total(t.orders, t.items),
                                                     qa.revenue_item_grain(t.items))
+    q["monthly_growth_dense"] = lambda t: ser.monthly_growth(t.orders, t.items, dense=True)
+    q["revenue_moving_avg_dense"] = lambda t: ser.moving_average(t.orders, t.items, 3, dense=True)
+    q["revenue_running_total_dense"] = lambda t: ser.running_total(t.orders, t.items, dense=True)
+    q["product_idle_months"] = lambda t: ser.idle_months(t.orders, t.items, "product_id")
     q["monthly_growth_masked"] = lambda t: ser.small_base_flag(
         ser.monthly_growth(t.orders, t.items), p.small_base_floor)
     if p.trust_window:
@@ -80,6 +85,8 @@ def analyses(p: Params) -> dict[str, Callable[[Tables], DataFrame]]:
     q["reachable_persons"] = lambda t: qa.reachable_persons(t.customers, t.orders)
     q["itemless_orders"] = lambda t: qa.orphans(t.orders, t.items, "order_id")
     q["staged_counts"] = lambda t: qa.staged_counts(t.customers, t.orders, t.items)
+    q["staged_counts_sketched"] = lambda t: sk.staged_errors(
+        sk.staged(sk.monthly_sketches(t.customers, t.orders, t.items)), qa.staged_counts(t.customers, t.orders, t.items))
     q["spend_quartiles"] = lambda t: cust.spend_tiers(t.customers, t.orders, t.items, p.spend_tiers)
     q["repeat_buyers"] = lambda t: cust.repeat_flag(t.customers, t.orders, t.items, p.min_orders)
     q["repeat_ratio"] = lambda t: cust.disproportionality(t.customers, t.orders, t.items, p.min_orders)
@@ -92,6 +99,7 @@ def analyses(p: Params) -> dict[str, Callable[[Tables], DataFrame]]:
     q["null_category_revenue"] = lambda t: qa.null_bucket_size(t.items, t.products)
     # act 3: retention diagnosis
     q["delay_distribution"] = lambda t: dlv.delay_distribution(t.orders)
+    q["delay_distribution_by_month"] = lambda t: dlv.summary_distribution(dlv.delay_summary(t.orders), ["month"])
     q["delay_bucket_score"] = lambda t: dlv.bucket_score(t.orders, t.reviews)
     q["pre_delivery_exclusion"] = lambda t: dlv.exclusion_effect(t.orders, t.reviews)
     q["early_share"] = lambda t: dlv.early_share(t.orders)

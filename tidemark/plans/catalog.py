@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import delivery as dlv
+from tidemark.operators import growth as grw
 from tidemark.operators import series as ser
+from tidemark.operators.digests import changed_rows
 from tidemark.plans.analyses import Params, analyses, retention_analyses
 from tidemark.schema import BRONZE_COLUMNS
 from tidemark.session import fresh_path
@@ -109,6 +111,51 @@ def silver_orders_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current(spark, path)
 
 
+CHANGED_MONTH = "1997-03"  # in which located_changes plants its changes
+
+
+def located_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose silver rows differ from an earlier version's: of one month,
+    every seventh order is missing there, every eleventh has another status and
+    every thirteenth isn't delivered yet.  Digests a month say where to look."""
+    orders = silver("orders", bronze_of(tpch_tables(spark, sf_dir), "orders"))
+    month = F.date_format("order_purchase_timestamp", "yyyy-MM")
+    number, planted = F.col("order_id").cast("bigint"), month == CHANGED_MONTH
+    earlier = (orders.where(~planted | (number % 7 != 0))
+               .withColumn("order_status", F.when(planted & (number % 11 == 0), "earlier").otherwise(F.col("order_status")))
+               .withColumn("order_delivered_customer_date", F.when(~(planted & (number % 13 == 0)), F.col("order_delivered_customer_date"))))
+    return changed_rows(earlier, orders, "order_id", month)
+
+
+def delay_distribution_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delay distribution from the kept summary, of which one year's months
+    were first written with half their orders and then put right."""
+    orders, path = tpch_tables(spark, sf_dir).orders, fresh_path(spark, "delays")
+    late = F.year("order_purchase_timestamp") == YEAR_A
+    dlv.write_delay_summary(dlv.delay_summary(orders.where(~late | (F.col("order_id") % 2 == 0))), path)
+    dlv.write_delay_summary(dlv.delay_summary(orders.where(late)), path)
+    return dlv.summary_distribution(dlv.read_delay_summary(spark, path))
+
+
+def items_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written with their order's purchase month, and read back."""
+    t, path = tpch_tables(spark, sf_dir), fresh_path(spark, "items-by-month")
+    grw.write_items_by_month(t.orders, t.items, path)
+    return grw.read_items_by_month(spark, path, t.items.schema)
+
+
+def platform_growth_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The platform's growth, from the matched months' items alone."""
+    cy = grw.category_years_by_month(items_by_month(spark, sf_dir), tpch_tables(spark, sf_dir).products, YEAR_A, YEAR_B, MATCHED_MONTHS)
+    return grw.growth_of(cy, YEAR_A, YEAR_B)
+
+
+def category_share_shift_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories' share shift, from the matched months' items alone."""
+    cy = grw.category_years_by_month(items_by_month(spark, sf_dir), tpch_tables(spark, sf_dir).products, YEAR_A, YEAR_B, MATCHED_MONTHS)
+    return grw.shift_of(cy, YEAR_A, YEAR_B, SHARE_FLOOR)
+
+
 def _silver(table):
     return _q(lambda t: silver(table, bronze_of(t, table)))
 
@@ -121,7 +168,8 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for table in ["orders", "order_items", "order_payments", "order_reviews", "products",
                   "customers", "sellers", "geolocation", "category_translation"]:
         q[f"silver_{table}"] = _silver(table)
-    for fn in (load_totals, raw_to_category_pareto, silver_orders_incremental):
+    for fn in (load_totals, raw_to_category_pareto, silver_orders_incremental, located_changes,
+               delay_distribution_kept, platform_growth_by_month, category_share_shift_by_month):
         q[fn.__name__] = fn
     q["row_counts"] = _q(lambda t: row_counts({k: bronze_of(t, k) for k in BRONZE_TABLES}))
     for name, fn in analyses(TPCH_PARAMS).items():
