@@ -106,20 +106,11 @@ _LINE_KEY = f"""('0x' || substr(md5(coalesce('=' || source, '') || chr(10) || tr
     {_LOWER.replace("coalesce(text, '')", "line")}, '0123456789', '0000000000'),
     '[ \\t-\\r]+', ' ', 'g'), ' ')), 1, 15))::BIGINT"""
 
-_PASS = """
-        c{k} AS (
-            SELECT *, CASE WHEN NOT picked AND size <= room THEN size ELSE 0 END AS want FROM p{j}),
-        d{k} AS (
-            SELECT *, sum(want) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS need FROM c{k}),
-        e{k} AS (SELECT * REPLACE (picked OR (want > 0 AND need <= room) AS picked) FROM d{k}),
-        p{k} AS (
-            SELECT * EXCLUDE (want, need) REPLACE (
-                missing - before - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS room) FROM e{k}),"""
-
 ORACLES: dict[str, str] = {
     "op4_pareto_mix": f"""
         WITH RECURSIVE docs AS (
-            SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'),
+            SELECT doc_id, source, row_number() OVER () AS nr,
+                   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'),
                                                    lambda w: w <> ''))::BIGINT AS size FROM documents),
         per AS (
             SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size,
@@ -156,17 +147,21 @@ ORACLES: dict[str, str] = {
             WHERE before <= missing AND before + words > missing GROUP BY source),
         z AS (
             SELECT s.*, edge, before FROM s LEFT JOIN edges ON s.source IS NOT DISTINCT FROM edges.source),
-        p0 AS (SELECT *, false AS picked, missing - before AS room FROM z WHERE size > 0 AND strip = edge),
-        {"".join(_PASS.format(k=k, j=k - 1) for k in (1, 2, 3, 4))}
-        p5 AS (
-            SELECT * REPLACE (picked OR (2 * room > size AND NOT picked AND row_number() OVER (
-                PARTITION BY source ORDER BY picked, size, q, doc_id) = 1) AS picked) FROM p4),
-        picks AS (
-            SELECT doc_id, size, source_size, target, certain, picked FROM p5
+        greedy(round, nr, source, size, q, doc_id, room, picked) AS (  -- in order of q, a document that fits is taken
+            SELECT 0, nr, source, size, q, doc_id, missing, false FROM z WHERE size > 0 AND missing > 0
             UNION ALL
-            SELECT doc_id, size, source_size, target, certain,
-                   size > 0 AND missing > 0 AND coalesce(strip < edge, true) FROM z
-            WHERE NOT coalesce(size > 0 AND strip = edge, false))
+            SELECT round + 1, nr, source, size, q, doc_id,
+                   room - sum(CASE WHEN need <= room THEN size ELSE 0 END) OVER (PARTITION BY source), need <= room
+            FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS need
+                  FROM greedy WHERE NOT picked AND size <= room)),
+        taken AS (
+            SELECT z.*, nr IN (SELECT nr FROM greedy WHERE picked) AS picked FROM z),
+        remains AS (
+            SELECT *, missing - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS room FROM taken),
+        picks AS (  -- and one more of the edge strip, if that comes nearer
+            SELECT * REPLACE (picked OR (coalesce(size > 0 AND strip = edge, false) AND 2 * room > size AND row_number() OVER (
+                PARTITION BY source, coalesce(size > 0 AND strip = edge, false) ORDER BY picked, size, q, doc_id) = 1) AS picked)
+            FROM remains)
         SELECT doc_id, size, source_size, target, (certain + picked::INT) * size AS taken FROM picks""",
     "op6_line_frequency": f"""
         WITH docs AS (
@@ -177,16 +172,15 @@ ORACLES: dict[str, str] = {
         win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 7]) AS n FROM pos),
         rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_rep FROM win, range(0, 8) r(k) WHERE n > 1 GROUP BY doc_id),
         lines AS (
-            SELECT doc_id, source, line, len(list_filter(regexp_split_to_array(line, '[ \\t-\\r]+'), lambda w: w <> '')) AS w
-            FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM docs)
+            SELECT doc_id, source, nr, line, len(list_filter(regexp_split_to_array(line, '[ \\t-\\r]+'), lambda w: w <> '')) AS w
+            FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line,
+                         generate_subscripts(string_split(t, chr(10)), 1) AS nr FROM docs)
             WHERE regexp_matches(line, '[^ \\t-\\r]')),
         keyed AS (SELECT *, {_LINE_KEY} AS key FROM lines),
         dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM lines GROUP BY doc_id),
-        own AS (SELECT doc_id, list_sort(list(DISTINCT key)) AS keys FROM keyed GROUP BY doc_id),
-        seen AS (SELECT unnest(keys) AS key, keys[1] AS least, keys[2] AS second FROM own),
-        frequent AS (
-            SELECT key FROM seen GROUP BY key
-            HAVING count(DISTINCT coalesce(CASE WHEN key = least THEN second ELSE least END, -1)) > 50),
+        own AS (SELECT doc_id, list(key ORDER BY nr) AS keys FROM keyed GROUP BY doc_id),
+        seen AS (SELECT DISTINCT md5(keys::VARCHAR) AS whole, unnest(keys) AS key FROM own),  -- true copies count once
+        frequent AS (SELECT key FROM seen GROUP BY key HAVING count(*) > 50),
         gone AS (SELECT doc_id, sum(w) AS n_gone FROM keyed SEMI JOIN frequent USING (key) GROUP BY doc_id),
         f AS (
             SELECT doc_id, len(words)::BIGINT AS n_words,
