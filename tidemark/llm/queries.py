@@ -168,8 +168,11 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, source, coalesce(text, '') AS t,
                    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS words
             FROM documents),
-        pos AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8),
-        win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 7]) AS n FROM pos),
+        tok AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
+        pos AS (
+            SELECT doc_id, i, md5(concat_ws(' ', w, {", ".join(f"lead(w, {k}) OVER o" for k in range(1, 8))})) AS eight
+            FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(w, 7) OVER o IS NOT NULL),
+        win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, eight) AS n FROM pos),
         rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_rep FROM win, range(0, 8) r(k) WHERE n > 1 GROUP BY doc_id),
         lines AS (
             SELECT doc_id, source, nr, line, len(list_filter(regexp_split_to_array(line, '[ \\t-\\r]+'), lambda w: w <> '')) AS w
