@@ -9,7 +9,8 @@ the other parent's well-filled sequences whole, drops the sequences that hold
 a piece twice, and best-fits the displaced pieces in falling order of length.
 After every epoch an island's elite also goes to the next island, by an
 exchange of rows.  Each block keeps the best of its islands; sequences left
-under ``TIGHT`` full are opened once more and packed across blocks.
+under ``TIGHT`` full are opened and packed again in new blocks, round by round, until
+their pieces have been one block or a round closes hardly any.
 
 Defined results: NULL text is empty (the end id only); rows equal in all
 columns are separate documents; an empty table gives an empty result; other
@@ -21,6 +22,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import blocks, encoder, vocabulary
 from tidemark.session import materialize
 
-BLOCK = 1024
+BLOCK = 4096
 ISLANDS = 2
 POPULATION = 4
 EPOCHS = 2
 GENERATIONS = 4
-TIGHT = 0.995
+TIGHT = 0.9995
+SHRINKS = 0.9  # rounds go on while they close a tenth of the open pieces
 
 Solution = list[tuple[int, list[int]]]  # of each sequence: its tokens and its pieces
 
@@ -213,10 +216,19 @@ def _evolved(items: DataFrame, capacity: int, seed: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = 4096, seed: int = 23) -> DataFrame:
     """Pieces of :func:`cut` with ``sequence_id`` and ``offset``."""
     loose = pieces.where(F.col("length") < capacity).select("uid", "length")
-    first = materialize(_evolved(loose, capacity, seed))
     tight = F.col("fill") >= TIGHT * capacity
-    again = materialize(_evolved(materialize(first.where(~tight).select("uid", "length")), capacity, seed + 1))
-    placed = first.where(tight).unionByName(again).select("uid", "sequence_id", "offset")
+    placed, n_open = [], None
+    while True:
+        done = materialize(_evolved(loose, capacity, seed + len(placed)))
+        left = done.where(~tight).count()
+        # pieces in sequences that aren't tight meet others in the next round's blocks
+        last = left == 0 or (n_open is not None and (n_open <= BLOCK or left > SHRINKS * n_open))
+        placed.append((done if last else done.where(tight)).select("uid", "sequence_id", "offset"))
+        if last:
+            break
+        n_open = left
+        loose = materialize(done.where(~tight).select("uid", "length"))
+    placed = reduce(DataFrame.unionByName, placed)
     return (pieces.join(placed, "uid", "left")
             .withColumn("sequence_id", F.coalesce("sequence_id", "uid"))
             .withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long")))
