@@ -23,6 +23,10 @@ than shards leave some shards empty.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal, localcontext
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import clear_name, numbered
 
-_EXACT_BELOW = 10**9  # numpy draws hypergeometric numbers exactly below this population
+_NUMPY_BELOW = 10**9  # numpy draws from smaller populations only; from larger ones this module does, by the same law
+_PI = Decimal("3.14159265358979323846264338327950288419716939937510582")
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, place within it below
 ROWS_PER_TASK = 100_000
 
@@ -40,22 +45,66 @@ def shard_sizes(n: int, shards: int) -> np.ndarray:
     return np.array([n // shards + (k < n % shards) for k in range(shards)], np.int64)
 
 
-def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of ``n`` rows taken from a population have each label.
+def _log_factorial(n: int) -> Decimal:
+    """ln n! to the digits of the context: by Stirling's series, for small numbers from the factorial."""
+    if n < 1000:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) + Decimal(5) / (5940 * x**9)
+    return x * x.ln() - x + (2 * _PI * x).ln() / 2 + series
+
+
+def _log_weight(k: int, good: int, bad: int, n: int) -> Decimal:
+    """ln of C(good, k) C(bad, n - k), but for a constant."""
+    return -sum(map(_log_factorial, (k, good - k, n - k, bad - n + k)))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows, taken from ``good + bad``, are good: an exact draw
+    for populations of any size, in time that doesn't grow with them.
+
+    Ratio of uniforms under the table-mountain hat of the law's mean and variance,
+    which covers log-concave laws; a candidate is a step from the mode, so its
+    double keeps its last digit, and is accepted by the law's own ratio to the
+    mode, in 50 decimal digits.  A few rows are taken one by one.
+    """
+    all_ = good + bad
+    few = min(n, all_ - n)  # the rows left behind are a sample as well
+    if few <= 16:
+        x, left_good, left = 0, good, all_
+        for _ in range(few):
+            hit = int(rng.integers(left)) < left_good
+            x, left_good, left = x + hit, left_good - hit, left - 1
+        return x if few == n else good - x
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mode = (good + 1) * (n + 1) // (all_ + 2)
+    mean, variance = Fraction(n * good, all_), Fraction(n * good * bad * (all_ - n), all_ * all_ * (all_ - 1))
+    centre = float(mean - mode) + 0.5
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(float(variance) + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    with localcontext() as context:
+        context.prec = 50
+        top = _log_weight(mode, good, bad, n)
+        while True:
+            u, v = 1 - rng.random(), rng.random()  # u > 0
+            k = mode + math.floor(centre + width * (v - 0.5) / u)
+            if low <= k <= high and 2 * Decimal(u).ln() <= _log_weight(k, good, bad, n) - top:
+                return k
 
-    Beyond numpy's limit a label's number is the rounded normal draw of the
-    same mean and variance (its relative error there is below 1e-4); the sums
-    stay exact."""
+
+def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` rows taken from a population have each label."""
     out, left = np.zeros_like(counts), int(counts.sum())
     for k, c in enumerate(counts.tolist()):
         if n == 0:
             break
-        if left < _EXACT_BELOW:
-            x = int(rng.hypergeometric(c, left - c, n)) if left > c else n
+        if left == c:
+            x = n
+        elif left < _NUMPY_BELOW:
+            x = int(rng.hypergeometric(c, left - c, n))
         else:
-            p = c / left
-            x = round(rng.normal(n * p, (n * p * (1 - p) * (left - n) / (left - 1)) ** 0.5))
-            x = min(max(x, n - (left - c), 0), c, n)
+            x = hypergeometric(rng, c, left - c, n)
         out[k], n, left = x, n - x, left - c
     return out
 
