@@ -476,3 +476,24 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     rules = spark.createDataFrame([("||spam-farm.", "block"), ("a*b^", "block"), ("|http://x/y.gif|", "allow")], "pattern string, verdict string")
     got = {r["pattern"]: r["tokens"] for r in url_rules.compile_patterns(rules).collect()}
     assert got == {"||spam-farm.": ["spam", "farm"], "a*b^": [], "|http://x/y.gif|": ["http", "x", "y", "gif"]}
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    rng = random.Random(5)
+    links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(559, 400), (7, 7)]
+    links += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(260)]
+    links += links[:40] + [(b, a) for a, b in links[:40]]  # repeated and turned round
+    above = {}
+
+    def find(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            above[max(x, y)] = min(x, y)
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(above))
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -280,33 +280,29 @@ def components(links: DataFrame) -> DataFrame:
     Large-star links every larger neighbour of a node to the smallest of its
     neighbourhood, small-star every smaller one; links become stars in a
     number of rounds that grows with the logarithm of the largest component.
-    Minima are aggregated before the exchange; no neighbourhood is gathered."""
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))) if large else edges
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = both.join(least, "a")
-        if large:
-            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-                least.select("a", F.col("m").alias("b")))
-        return materialize(out.where("a <> b").distinct())
-
+    Minima are aggregated before the exchange; no neighbourhood is gathered.
+    Large-star's aggregate also tells which nodes are open, so the end needs no
+    exchange of its own; its links are not made distinct, as it has no more than it read."""
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
+        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+        near = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") < F.col("a")).alias("below"),
+                                     F.count_if(F.col("b") > F.col("a")).alias("above"))
         # done when every link points to a smallest document: nobody has two links, or is pointed to and points on
-        nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
-            edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-        open_ = nodes.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-        if not open_.agg(F.max(F.expr("out > 1 or (out > 0 and into > 0)"))).first()[0]:
+        wide = materialize(both.join(near, "a").where("b > a or below > 1").select(
+            F.col("b").alias("a"), F.least("a", "m").alias("b"), F.expr("b > a").alias("up"),
+            F.expr("below > 1 or (below > 0 and above > 0)").alias("open")))
+        if not wide.agg(F.max("open")).first()[0]:
+            let_go(wide)
             break
-        wide = star(edges, True)
         let_go(edges)
-        edges = star(wide, False)
+        up = wide.where("up").select("a", "b")
+        least = up.groupBy("a").agg(F.min("b").alias("m"))
+        out = up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
+            least.select("a", F.col("m").alias("b")))
+        edges = materialize(out.where("a <> b").distinct())
         let_go(wide)
-    least = edges.groupBy("a").agg(F.min("b").alias("component_id"))
-    return least.select(F.col("a").alias("doc_id"), "component_id").union(
-        edges.select("b", "b").distinct())
+    return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())
 
 
 @contextmanager
@@ -351,11 +347,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
                          (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
     signed = materialize(narrow.mapInArrow(partial(_sign, size=size, n_bands=n_bands), _SIGNED))
     narrow = narrow.drop("row")
-    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-                          .agg(F.min("doc_id").alias("rep")))
-    reps = (signed.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
-            .dropDuplicates(["digest", "doc_id"])
-            .select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"))
+    # rows of equal words have equal signatures: any of them stands for the class
+    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")]))
+    reps = classes.drop("digest")
 
     members = reps.select("rep", F.explode("bands").alias("band"))
     orders = [F.min("rep")] + [F.min_by("rep", F.xxhash64(F.lit(k), "rep")) for k in range(1, CENTRES)]
@@ -402,7 +397,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
                 found = materialize(components(stars.unionByName(more)))
 
     # a document's component: its class's, by its smallest document
-    by_class = materialize(classes.join(found, F.col("rep") == F.col("doc_id"), "left").select(
+    by_class = materialize(classes.select("digest", "rep").join(found, F.col("rep") == F.col("doc_id"), "left").select(
         "digest", F.coalesce("component_id", "rep").alias("class_id")))
     out = signed.select("row", "doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     return out.select("row", "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id")).withColumn(
