@@ -497,3 +497,22 @@ def test_components_of_chains_stars_and_random_links(spark):
     got = near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(above))
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("side", [3, 128])
+def test_chains_through_blocks_of_one_component(spark, monkeypatch, side):
+    """Long chains of edits: a centre links few of them, and the blocks of large components and of the rest meet."""
+    monkeypatch.setattr(near_dedup, "SIDE", side)
+    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    rng = random.Random(8)
+    texts = []
+    for f in range(3):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for k in range(36):
+            texts.append((100 * f + rng.randrange(10**6) * 1000 + k, " ".join(words)))
+            for at in rng.sample(range(200), 2 if k % 9 else 30):  # at times too many: the chain ends
+                words[at] = f"x{f}_{k}_{at}"
+    _, component = brute_components(texts)
+    got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: component[i] for i, _ in texts}
+    assert 6 < len(set(component.values())) < 60

@@ -18,8 +18,9 @@ intersection >= ``threshold`` % of union.  A group is a connected component.
    steps.
 5. Members of a bucket that are in different components by then may still be
    linked.  Buckets that hold several components are cut into blocks of
-   ``SIDE`` members; a task compares two blocks by signatures, each pair in the first
-   bucket it shares.  Only members with a partner to be verified get their
+   ``SIDE`` members, those of a component that fills one by itself apart from the rest, so that
+   its members meet others but not each other; a task compares two blocks by signatures,
+   each pair in the first bucket it shares.  Only members with a partner to be verified get their
    shingle sets, in that bucket; tasks compare the blocks again and pass on
    only links that join components.  So no link between texts
    that share a bucket is lost, whatever the centres were, and no pairs are
@@ -327,15 +328,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
 
 
 def _meetings(members: DataFrame, *columns: str) -> DataFrame:
-    """``band``, ``m_a``, ``m_b``: each two blocks of a bucket, and each block
-    with itself, where it lies; only blocks of a bucket that has several are exchanged."""
-    open_ = materialize(members.groupBy("band", "n", "blk").agg(F.collect_list(F.struct(*columns)).alias("m")))
-    alone = open_.select("band", F.col("m").alias("m_a"), F.col("m").alias("m_b"))
-    several = open_.where(F.col("n") > SIDE)
-    return alone.unionByName(
-        several.select("band", F.col("blk").alias("blk_a"), F.col("m").alias("m_a"))
-        .join(several.select("band", F.col("blk").alias("blk_b"), F.col("m").alias("m_b")), "band")
-        .where("blk_a < blk_b").select("band", "m_a", "m_b"))
+    """``band``, ``m_a``, ``m_b``: each two blocks of a bucket that hold different components, and
+    each block of several components with itself, where it lies; only blocks of a bucket that has
+    several are exchanged.  Blocks of one component (``of``) meet those of others alone: the left
+    side has them only where a bucket holds several large components."""
+    open_ = materialize(members.groupBy("band", "larges", "rest", "of", "blk").agg(F.collect_list(F.struct(*columns)).alias("m")))
+    alone = open_.where("of is null").select("band", F.col("m").alias("m_a"), F.col("m").alias("m_b"))
+    several = open_.where((F.col("larges") > 0) | (F.col("rest") > SIDE))
+    one, other = (several.select("band", "larges", *[F.col(c).alias(f"{c}_{side}") for c in ("of", "blk", "m")]) for side in "ab")
+    meet = F.when(F.col("of_a").isNull(), F.col("of_b").isNotNull() | (F.col("blk_a") < F.col("blk_b"))).otherwise(
+        F.col("of_a") < F.col("of_b"))
+    return alone.unionByName(one.where("of_a is null or larges > 1").drop("larges").join(other.drop("larges"), "band")
+                             .where(meet).select("band", "m_a", "m_b"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None, size: int = SHINGLE,
@@ -378,10 +382,18 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
         "band", "rep", F.coalesce("component_id", "rep").alias("component"))
     located = materialize(located)
     let_go(members)
-    mixed = located.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
-                                        F.max("component").alias("hi")).where("lo < hi").select("band", "n")
-    mixed = materialize(mixed)
-    members = located.join(mixed, "band").withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SIDE)))
+    own = materialize(located.groupBy("band", "component").agg(F.count(F.lit(1)).alias("own")))
+    large = F.col("own") >= SIDE
+    mixed = own.groupBy("band").agg(
+        F.count(F.lit(1)).alias("components"), F.count_if(large).alias("larges"),
+        F.sum(F.when(large, 0).otherwise(F.col("own"))).alias("rest")).where("components > 1").drop("components")
+    # blocks of one large component, and blocks of what is left of the bucket
+    blocks_of_side = F.ceil(F.when(large, F.col("own")).otherwise(F.col("rest")) / SIDE)
+    members = materialize(located.join(own.join(mixed, "band"), ["band", "component"]).select(
+        "band", "rep", "component", "larges", "rest", F.when(large, F.col("component")).alias("of"),
+        F.pmod(F.xxhash64("rep"), blocks_of_side).alias("blk")))
+    let_go(located)
+    let_go(own)
     may = partial(_may_link, threshold=threshold, n_bands=n_bands)
     link = partial(_blocks_link, threshold=threshold, n_bands=n_bands)
     with _small_batches(docs.sparkSession):
