@@ -25,6 +25,9 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,35 +79,62 @@ def kind_spans(found: Column, kind: str, order: int) -> Column:
         s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def _c_log_c(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value taken once: expressions inside a lambda are taken at every turn."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _best_window(codes: Column, n_kinds: Column, window: int) -> Column:
+    """Of character codes from 0.  The counts of the window's characters lie in
+    longs, some bits a code; a step lowers one count and raises another."""
+    bits = window.bit_length()
+    per = 63 // bits
+    zero = F.lit(0).cast("long")
+    c_log_c = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+
+    def slot(code: Column) -> Column:
+        return F.floor(code / per).cast("int")
+
+    def shift(code: Column) -> Column:
+        return (code % per) * bits
+
+    def added(counts: Column, code: Column, sign: int) -> Column:
+        one = F.call_function("shiftleft", F.lit(sign).cast("long"), shift(code))
+        return F.transform(counts, lambda held, k: held + F.when(k == slot(code), one).otherwise(zero))
+
+    def count(counts: Column, code: Column) -> Column:
+        held = F.call_function("shiftright", F.get(counts, slot(code)), shift(code))
+        return held.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        n_gone = count(acc["counts"], x["gone"])
+        n_new = count(acc["counts"], x["new"]) - (x["gone"] == x["new"]).cast("int")
+        s = (acc["s"] - F.get(c_log_c, n_gone) + F.get(c_log_c, n_gone - 1) - F.get(c_log_c, n_new)
+             + F.get(c_log_c, n_new + 1))
+        return F.struct(s.alias("s"), F.least(acc["least"], s).alias("least"),
+                        added(added(acc["counts"], x["gone"], -1), x["new"], 1).alias("counts"))
+
+    def slide(counts: Column) -> Column:
+        # S of the first window: every character adds log2 of its count
+        s0 = F.aggregate(first, F.lit(0.0), lambda a, c: a + F.log2(count(counts, c).cast("double")))
+        return F.aggregate(moves, _let(s0, lambda s: F.struct(s.alias("s"), s.alias("least"), counts.alias("counts"))),
+                           step, lambda acc: acc["least"])
+
+    n = F.size(codes)
+    first = F.slice(codes, 1, window)
+    n_moves = F.greatest(n - window, F.lit(0))
+    moves = F.zip_with(F.slice(codes, F.lit(1), n_moves), F.slice(codes, F.lit(window + 1), n_moves),
+                       lambda gone, new: F.struct(gone.alias("gone"), new.alias("new")))
+    start = F.aggregate(first, F.array_repeat(zero, slot(n_kinds) + 1), lambda counts, c: added(counts, c, 1))
+    width = F.least(n, F.lit(window)).cast("double")
+    return F.log2(width) - _let(start, slide) / width
 
 
 def highest_entropy(value: Column, window: int = WINDOW) -> Column:
     """Of all windows of the string (all of it, if shorter), in bits a character."""
-    chars = F.split(value, "")
-
-    def count(held: Column, c: Column) -> Column:
-        return F.size(F.filter(held, lambda x: x == c))
-
-    # S of the first window: every character adds log2 of its count
-    first = F.slice(chars, 1, window)
-    s0 = F.aggregate(F.transform(first, lambda c: F.log2(count(first, c).cast("double"))), F.lit(0.0), lambda a, x: a + x)
-
-    def step(acc: Column, i: Column) -> Column:  # i: the place that enters, from 1
-        old = F.slice(chars, i - window, window)
-        gone, new = F.element_at(chars, i - window), F.element_at(chars, i)
-        n_gone = count(old, gone)
-        n_new = count(old, new) - (gone == new).cast("int")
-        s = acc["s"] - _c_log_c(n_gone) + _c_log_c(n_gone - 1) - _c_log_c(n_new) + _c_log_c(n_new + 1)
-        return F.struct(s.alias("s"), F.least(acc["least"], s).alias("least"))
-
-    n = F.size(chars)
-    steps = F.when(n > window, F.sequence(F.lit(window + 1), F.greatest(n, F.lit(window + 1)))).otherwise(
-        F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(s0.alias("s"), s0.alias("least")), step, lambda acc: acc["least"])
-    width = F.least(n, F.lit(window)).cast("double")
-    return F.log2(width) - least / width
+    return _let(F.split(value, ""), lambda chars: _let(F.array_distinct(chars), lambda kinds: _let(
+        F.transform(chars, lambda c: (F.array_position(kinds, c) - 1).cast("int")),
+        lambda codes: _best_window(codes, F.size(kinds), window))))
 
 
 def mixed(value: Column) -> Column:
