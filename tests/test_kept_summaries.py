@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -58,6 +59,23 @@ def test_dense_calendar_by_group_and_empty(spark, shop):
     assert idle == {"x": (4, 2, 2), "y": (5, 3, 3)}
 
 
+def test_idle_months_makes_no_rows_for_months_without_sales(spark, monkeypatch):
+    sales = {"x": ["1931-05-09", "2017-01-31", "2017-01-02", "2017-04-01"], "y": [None, "1975-04-30", "1975-05-01"],
+             None: ["1969-12-31", "1970-01-01", "1970-03-01"], "z": [None], "w": ["1975-04-01", "1980-09-01"]}
+    rows = [(p, d) for p, days in sales.items() for d in days]
+    orders = spark.createDataFrame([(k, d) for k, (_, d) in enumerate(rows)], "order_id long, d string").select(
+        "order_id", F.to_timestamp_ntz("d").alias("order_purchase_timestamp"))
+    items = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(rows)], "order_id long, product_id string")
+    monkeypatch.setattr(ser, "ROWS_PER_TASK", 1)
+    idle = ser.idle_months(orders, items, "product_id")
+    plan = idle._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for a month without sales
+    assert re.search(rf"hashpartitioning\(order_id#\d+L, {len(rows)}\)", plan)  # tasks by the items' number
+    got = {r.product_id: (str(r.first_month)[:7], str(r.last_month)[:7], r.months, r.idle_months, r.longest_idle) for r in idle.collect()}
+    assert got == {"x": ("1931-05", "2017-04", 1032, 1029, 1027), "y": ("1975-04", "1975-05", 2, 0, 0),
+                   None: ("1969-12", "1970-03", 4, 1, 1), "w": ("1975-04", "1980-09", 66, 64, 64)}
+
+
 def _delays(spark, rows):
     return spark.createDataFrame(rows, "order_id int, order_purchase_timestamp timestamp_ntz, "
                                        "order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz")

@@ -11,6 +11,8 @@ is asked for on a dense calendar (:func:`dense_months`).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,23 +74,37 @@ def _series(orders, items, trim, dense=False):
     return dense_months(s, ["monthly_volume", "revenue"]) if dense else s
 
 
+ROWS_PER_TASK = 500_000  # items that one task of idle_months joins
+
+
 def idle_months(orders: DataFrame, items: DataFrame, by: str) -> DataFrame:
     """``by``, first_month, last_month, months, idle_months, longest_idle: for how
     many months, and for how many in a row, a seller, product, … sold nothing
-    between its first and last sale."""
-    months = (items.select("order_id", by).join(
-        orders.select("order_id", month_of("order_purchase_timestamp").alias(MONTH)), "order_id")
-        .groupBy(by, MONTH).agg(F.count(F.lit(1)).alias("n")))
-    dense = dense_months(months, ["n"], [by])
-    # the months since a sale belong to the run that this sale starts
-    w = Window.partitionBy(by).orderBy(MONTH)
-    runs = dense.withColumn("_run", F.count_if(F.col("n") > 0).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lengths = runs.groupBy(by, "_run").agg(
-        F.min(MONTH).alias("_from"), F.max(MONTH).alias("_to"), F.count_if(F.col("n") == 0).alias("_idle"))
-    return lengths.groupBy(by).agg(
-        F.min("_from").alias("first_month"), F.max("_to").alias("last_month"),
-        (F.count(F.lit(1)) + F.sum("_idle")).alias("months"), F.sum("_idle").alias("idle_months"),
-        F.max("_idle").alias("longest_idle"))
+    between its first and last sale.
+
+    The months with sales are bits of 64-month words, aggregated before the
+    exchange; a group's few words then tell its gaps, so no month without sales
+    is ever a row.  The join has as many tasks as the items need: a task's memory
+    doesn't grow with the input.
+    """
+    parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(items.count() / ROWS_PER_TASK))
+    month = month_of("order_purchase_timestamp")
+    sold = items.select("order_id", by).repartition(parts, "order_id").join(
+        orders.select("order_id", ((F.year(month) - 1970) * 12 + F.month(month) - 1).alias("_m")).repartition(parts, "order_id"),
+        "order_id").where("_m is not null")
+    words = sold.groupBy(by, F.shiftright("_m", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, _m & 63))").alias("_bits"))
+    held = words.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).alias("_words"))
+    sales = held.select(by, F.flatten(F.transform("_words", lambda w: F.filter(
+        F.sequence(w["_word"] * 64, w["_word"] * 64 + 63),
+        lambda m: F.getbit(w["_bits"], m.bitwiseAND(63)) == 1))).alias("_months"))
+    gaps = F.transform("_months", lambda m, k: F.coalesce(m - F.get("_months", k - 1) - 1, F.lit(0)))
+    ends = sales.select(by, F.get("_months", F.lit(0)).alias("_first"), F.element_at("_months", -1).alias("_last"),
+                        F.size("_months").alias("_sold"), F.array_max(gaps).cast("bigint").alias("longest_idle"))
+    epoch = F.lit("1970-01-01").cast("date")
+    months = (F.col("_last") - F.col("_first") + 1).cast("bigint")
+    return ends.select(
+        by, *(F.add_months(epoch, c).cast("timestamp_ntz").alias(name) for c, name in (("_first", "first_month"), ("_last", "last_month"))),
+        months.alias("months"), (months - F.col("_sold")).alias("idle_months"), "longest_idle")
 
 
 def monthly_growth(orders: DataFrame, items: DataFrame,
