@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clear_name, lower_ascii, numbered, whole_text
+from tidemark.llm.near_dedup import _ROWS, _small_batches
+from tidemark.llm.tokens import gives_back
 from tidemark.session import materialize
 
 SPLITTER_BYTES = 32
 _RUNS = ("row long, doc_id long, part int, run long, first boolean, head_id long, sha string")
 
 
+@gives_back
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one sorted partition -> their runs.  ``head_id`` is the
     identifier of the run's first row, the largest."""
@@ -71,7 +74,8 @@ def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str
     ranged = (norm.repartitionByRange(parts, "head", "sha", largest_first)
               .withColumn("part", F.spark_partition_id())
               .sortWithinPartitions("head", "sha", "text", largest_first).drop("head"))
-    runs = materialize(ranged.mapInArrow(_walk, _RUNS))
+    with _small_batches(spark, _ROWS):
+        runs = materialize(ranged.mapInArrow(_walk, _RUNS))
 
     # a run's length, its largest identifier and its first row's number
     per_run = runs.groupBy("part", "run").agg(

@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import blocks, encoder, vocabulary
+from tidemark.llm.near_dedup import _ROWS as _TEXTS
+from tidemark.llm.near_dedup import _small_batches
+from tidemark.llm.tokens import blocks, encoder, gives_back, vocabulary
 from tidemark.session import materialize
 
 BLOCK = 4096
@@ -45,6 +47,7 @@ Solution = list[tuple[int, list[int]]]  # of each sequence: its tokens and its p
 
 
 def _pieces(path: str, end_id: int, capacity: int, dtype: str):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         for batch in batches:
@@ -74,7 +77,8 @@ def cut(docs: DataFrame, capacity: int = 4096, text: str = "text", doc_id: str =
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = narrow.mapInArrow(_pieces(vocabulary_path or vocabulary(), end_id, capacity, dtype),
                                "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
-    return materialize(pieces.withColumn("uid", F.monotonically_increasing_id()))
+    with _small_batches(docs.sparkSession, _TEXTS):
+        return materialize(pieces.withColumn("uid", F.monotonically_increasing_id()))
 
 
 # --- one island ---
