@@ -39,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import _byte_alphabet, blocks, vocabulary
+from tidemark.llm.near_dedup import _small_batches
+from tidemark.llm.tokens import _byte_alphabet, blocks, gives_back, vocabulary
 from tidemark.session import materialize
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORK = 32_768  # ends of a piece
-_BLOCK_BYTES = 4 << 20  # of text that a worker encodes at a time
+_BLOCK_BYTES = 1 << 19  # of text that a worker encodes, or of ids that it reads, at a time
+_ROWS, _PIECES = 1000, 32  # texts, pieces in Python at a time
 _SPACE = "▁"
 
 
@@ -140,6 +142,7 @@ def _binary(parts: list[np.ndarray | None]) -> pa.Array:
     return pa.array([None if p is None else p.tobytes() for p in parts], pa.binary())
 
 
+@gives_back
 def _encode(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, work: int) -> Iterator[pa.RecordBatch]:
     """Ids of both vocabularies (32 bits, little-endian), and closing marks (a bit a token) unless a text has several pieces."""
     one, other = vocabularies(a_path, b_path)
@@ -164,6 +167,7 @@ def _encode(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, work: i
                                              ["row", "doc_id", "a", "b", *_MARKS])
 
 
+@gives_back
 def _cut(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, work: int) -> Iterator[pa.RecordBatch]:
     """Texts of several pieces -> one row a piece, with the ends in it."""
     size_a, size_b = (np.array([len(t) for t in v.bytes], np.int64) for v in vocabularies(a_path, b_path))
@@ -178,6 +182,7 @@ def _cut(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, work: int)
                 ["row", "piece", "ends_a", "ends_b"])
 
 
+@gives_back
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each piece by itself: a byte for each end, 1 where a group closes."""
     for batch in batches:
@@ -187,6 +192,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           *(_binary([h[k] for h in held]) for k in (0, 1))], ["row", "piece", *_MARKS])
 
 
+@gives_back
 def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of a text's pieces in order -> marks of the text."""
     for batch in batches:
@@ -202,20 +208,23 @@ def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str
     paths = {"a_path": a_path or vocabulary(A_FILE), "b_path": b_path or vocabulary(B_FILE)}
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
-    encoded = materialize(narrow.mapInArrow(partial(_encode, work=work, **paths), _ALIGNED), compression="zstd")
+    with _small_batches(docs.sparkSession, _ROWS):
+        encoded = materialize(narrow.mapInArrow(partial(_encode, work=work, **paths), _ALIGNED), compression="zstd")
     # whole texts of several pieces: the table's footers show whether there are any
     long = encoded.where(F.col("closes_a").isNull())
     pieces = long.select("row", "a", "b").mapInArrow(partial(_cut, work=work, **paths),
                                                      "row long, piece long, ends_a binary, ends_b binary")
     merged = pieces.repartition("row", "piece").mapInArrow(_merge, "row long, piece long, closes_a binary, closes_b binary")
-    stitched = materialize(merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("piece", *_MARKS))).alias("pieces"))
-                           .mapInArrow(_stitch, "row long, closes_a binary, closes_b binary"))
+    with _small_batches(docs.sparkSession, _PIECES):
+        stitched = materialize(merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("piece", *_MARKS))).alias("pieces"))
+                               .mapInArrow(_stitch, "row long, closes_a binary, closes_b binary"))
     return encoded.where(F.col("closes_a").isNotNull()).unionByName(long.drop(*_MARKS).join(stitched, "row"))
 
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Ids of a text, and the places after each group's last token."""
-    for a, b, closes_a, closes_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", *_MARKS))):
+    for a, b, closes_a, closes_b in zip(*(batch.column(c) for c in ("a", "b", *_MARKS))):
+        a, b, closes_a, closes_b = (x.as_buffer() for x in (a, b, closes_a, closes_b))
         ids = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
         yield (*ids, *(np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), count=len(i), bitorder="little")) + 1
                        for m, i in zip((closes_a, closes_b), ids)))
@@ -225,11 +234,12 @@ def _pairs(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -
     return (a[cut_a - 1].astype(np.int64) << 32) | b[cut_b - 1]
 
 
+@gives_back
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often a partition links each pair; no more of them than :func:`most_pairs` are held."""
     pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        new, m = np.unique(np.concatenate([np.zeros(0, np.int64), *(_pairs(*t) for t in _opened(batch))]), return_counts=True)
+    for block in (b for batch in batches for b in blocks(batch, "a", _BLOCK_BYTES)):
+        new, m = np.unique(np.concatenate([np.zeros(0, np.int64), *(_pairs(*t) for t in _opened(block))]), return_counts=True)
         pairs, place = np.unique(np.concatenate([pairs, new]), return_inverse=True)
         n = np.bincount(place, np.concatenate([n, m]), len(pairs)).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
@@ -237,19 +247,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``pair`` (A's id times 2**32 plus B's), ``n`` (links of it in the corpus), ``best`` (no pair of that B id has more)."""
-    n = materialize(aligned.mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    with _small_batches(aligned.sparkSession, _ROWS):
+        n = materialize(aligned.mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     most = n.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
     return n.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+@gives_back
 def _score(batches: Iterator[pa.RecordBatch], counts, n_a: int, n_b: int) -> Iterator[pa.RecordBatch]:
     pairs, n, best = counts.value
     names = [str(i).encode() for i in range(max(n_a, n_b))]
     table = [w + end for w in names for end in (b",", b"|", b";")]
-    for batch in batches:
+    for block in (b for batch in batches for b in blocks(batch, "a", _BLOCK_BYTES)):
         out: list[tuple] = []
-        for a, b, cut_a, cut_b in _opened(batch):
+        for a, b, cut_a, cut_b in _opened(block):
             at = np.searchsorted(pairs, _pairs(a, b, cut_a, cut_b))
             # each token's place in the listing: A's tokens of a group come before B's
             groups_a = np.repeat(np.arange(len(cut_a)), np.diff(cut_a, prepend=0))
@@ -264,7 +276,7 @@ def _score(batches: Iterator[pa.RecordBatch], counts, n_a: int, n_b: int) -> Ite
             text = b"".join(map(table.__getitem__, listed.tolist()))[:-1]
             out.append((len(a), len(b), len(cut_a), len(at), int(best[at].sum()), int(n[at].sum()), text))
         kinds = [pa.int64()] * 6 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"),
+        yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"),
                                           *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))],
                                          ["row", "doc_id", *_SCORES])
 
