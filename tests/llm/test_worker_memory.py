@@ -69,3 +69,33 @@ def test_stripes_are_built_by_turns(monkeypatch):
                 got[tuple(np.frombuffer(k[:8 * size], ">u8").tolist())] += sum(n)
         c = codes.tolist()
         assert got == Counter(w for w in (tuple(c[i:i + size]) for i in range(len(c) - size + 1)) if all(w))
+
+
+def test_codes_are_written_in_short_rows():
+    text = b"one two three. " * 40_000
+    docs = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text], pa.binary())], ["lang", "text"])
+    every = SimpleNamespace(value=collocations.Bits(np.full(8, 255, np.uint8), 6))
+    rows = [r for b in collocations._encode(iter([docs]), 0, every) for r in b.column("codes").to_pylist()]
+    assert max(map(len, rows)) <= 8 * (4096 + 4)  # a reader takes 64 of them, a page of Parquet 100: 3 MB
+    three = [collocations._code_of(w, 0) for w in (b"one", b"two", b"three")]
+    assert np.frombuffer(b"".join(rows), np.uint64).tolist() == [*three, 0] * 40_000
+
+
+def test_tables_of_phrases_are_read_by_few_rows_and_kept_in_few_files(spark, monkeypatch):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before, write, jobs = spark.conf.get(key), collocations.materialize, []
+
+    def seen(df, **options):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        jobs.append(("MapInArrow" in plan, int(spark.conf.get(key)), "RebalancePartitions" in plan, options))
+        return write(df, **options)
+
+    monkeypatch.setattr(collocations, "materialize", seen)
+    docs = spark.createDataFrame([("en", "a b c d e f. " * 50), ("en", "a b c. " * 50), (None, None)], "lang string, text string")
+    got = {r.phrase: r.a for r in collocations.phrases(docs, least=50, longest=3).collect()}
+    assert got == {"a b c": 100, "b c d": 50, "c d e": 50, "d e f": 50}
+    python = [j for j in jobs if j[0]]
+    assert [rows for _, rows, _, _ in python] == [64] * 4 and spark.conf.get(key) == before
+    # the words and the merged stripes of each length, which leave few rows of many tasks; codes are as many as the texts' tasks
+    assert [even for _, _, even, _ in python] == [True, False, True, True]
+    assert int(python[1][3]["parquet.block.size"]) <= 16 << 20
